@@ -1,0 +1 @@
+from . import labels, text, urls, vectors  # noqa: F401
