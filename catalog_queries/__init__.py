@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("vector_queries",)
+MODULES = ("text_queries", "state_queries", "vector_queries")
 
 
 def load():

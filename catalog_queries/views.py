@@ -147,8 +147,7 @@ def files(spark, sf):
     )
     return (
         table(spark, sf, "part")
-        .where("p_partkey % 7 > 0")  # a sequence cannot be empty: those parts have no files
-        .select("p_partkey", "p_size", F.explode(F.expr("sequence(1L, p_partkey % 7)")).alias("n"))
+        .select("p_partkey", "p_size", F.explode(F.expr("slice(sequence(1L, 7L), 1, int(p_partkey % 7))")).alias("n"))
         .withColumn("folder", F.concat(F.lit("f"), F.col("p_partkey").cast("string")))
         .withColumn("ext", F.element_at(F.array(*[F.lit(e) for e in _EXT]), slot))
         .select(

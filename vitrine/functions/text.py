@@ -14,18 +14,18 @@ ILLEGAL = r'[\\/:*?"<>|]'
 
 def strip(col: Column) -> Column:
     """Trim Unicode white space on both sides."""
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col, f"\\A{SPACE}+|{SPACE}+\\z", "")
 
 
 def sanitize_name(name: Column) -> Column:
     """A title made safe to be a folder name."""
     clean = F.regexp_replace(strip(name), ILLEGAL, "_")
     clean = F.regexp_replace(clean, "[_ ]{2,}", "_")
-    clean = F.regexp_replace(clean, r"^[ _.]+|[ _.]+$", "")
+    clean = F.regexp_replace(clean, r"\A[ _.]+|[ _.]+\z", "")
     clean = F.when(clean == "", F.lit(S.UNTITLED)).otherwise(clean)
     stem = F.upper(F.substring_index(clean, ".", 1))
     clean = F.when(stem.isin(*S.RESERVED_NAMES), F.concat(F.lit("_"), clean)).otherwise(clean)
-    short = F.regexp_replace(F.substring(clean, 1, S.MAX_NAME_LENGTH), r"[ _.]+$", "")
+    short = F.regexp_replace(F.substring(clean, 1, S.MAX_NAME_LENGTH), r"[ _.]+\z", "")
     return F.when(short == "", F.lit(S.UNTITLED)).otherwise(short)
 
 

@@ -82,7 +82,7 @@ def resize_url(url: Column, size: str = S.IMAGE_SIZE) -> Column:
 
 def url_extension(url: Column) -> Column:
     path = F.substring_index(url, "?", 1)
-    ext = F.regexp_extract(path, r"(?s)(\.[^.]*)$", 1)
+    ext = F.regexp_extract(path, r"(\.[^.]*)\z", 1)
     return F.when((ext != "") & (F.length(ext) <= S.MAX_EXTENSION_LENGTH), ext).otherwise(
         S.DEFAULT_EXTENSION
     )

@@ -91,7 +91,7 @@ def feed(listings: DataFrame, marks: DataFrame) -> DataFrame:
         "row",
         "folder",
         title.alias("title"),
-        F.format_number("price", "0.00").alias("price"),
+        F.format_string("%.2f", "price").alias("price"),
         F.size("main_images").alias("n_main"),
         F.size("detail_images").alias("n_detail"),
         F.when(F.col("uploaded"), "uploaded").otherwise("waiting").alias("state"),

@@ -1,0 +1,50 @@
+"""Feature writes as a stream whose entries expire."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .. import settings as S
+
+OUTPUT = "key string, mtime double, known boolean"
+
+
+class KnownFeature(StatefulProcessor):
+    """Remembers the newest mtime of every key and forgets it after the time to live.
+
+    Emits every write with whether the same version was already stored.
+    """
+
+    def __init__(self, days: int = S.FEATURE_TTL_DAYS):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kept = StructType([StructField("mtime", DoubleType())])
+        self.seen = handle.getValueState("seen", kept, ttlDurationMs=self.days * 86_400_000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        stored = self.seen.get()[0] if self.seen.exists() else None
+        for batch in rows:
+            out = []
+            for mtime in batch["mtime"].sort_values():
+                out.append((key[0], float(mtime), stored == mtime))
+                stored = float(mtime)
+            if out:
+                yield pd.DataFrame(out, columns=["key", "mtime", "known"])
+        if stored is not None:
+            self.seen.update((stored,))
+
+    def close(self) -> None:
+        pass
+
+
+def known_features(writes: DataFrame, days: int = S.FEATURE_TTL_DAYS) -> DataFrame:
+    """Stream of (key, mtime, known) for a stream of feature writes (key, mtime)."""
+    return writes.select("key", "mtime").groupBy("key").transformWithStateInPandas(
+        statefulProcessor=KnownFeature(days), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime"
+    )
