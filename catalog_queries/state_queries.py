@@ -104,7 +104,7 @@ def _(spark, sf):
 
 
 @query("join_match_products", with_views("products", """
-SELECT l_orderkey AS qid, l_linenumber AS n, match_id, coalesce(concat('s', s_suppkey), folder) AS folder, coalesce(s_name, name) AS name FROM (
+SELECT l_orderkey AS qid, l_linenumber AS n, match_id, CASE WHEN s_suppkey IS NOT NULL THEN concat('s', s_suppkey) ELSE folder END AS folder, coalesce(s_name, name) AS name FROM (
  SELECT *, CASE WHEN l_returnflag = 'R' THEN -1 - l_suppkey ELSE 2 * l_partkey END AS match_id FROM lineitem)
 LEFT JOIN supplier ON -1 - s_suppkey = match_id LEFT JOIN products ON id = match_id WHERE s_suppkey IS NOT NULL OR id IS NOT NULL"""))
 def _(spark, sf):
@@ -492,20 +492,20 @@ def titled(spark, sf):
     )
 
 
-@query("win_unique_folder", with_views("titled", """
-, e AS (SELECT DISTINCT concat(p_name, '_', p_size % 5 + 2) AS name FROM part WHERE p_type = 'ECONOMY' AND p_size > 45),
-o AS (SELECT row, title, row_number() OVER (ORDER BY row) AS n FROM titled),
-s AS (SELECT n, row, title FROM o)
-SELECT row, folder_name FROM (
-  WITH RECURSIVE walk(n, row, folder_name, taken) AS (
-    SELECT 0::BIGINT, -1::BIGINT, ''::VARCHAR, (SELECT list(name) FROM e)
-    UNION ALL
-    SELECT n2, row2, pick, list_append(taken, pick) FROM (
-      SELECT s.n AS n2, s.row AS row2, w.taken,
-        CASE WHEN NOT list_contains(w.taken, s.title) THEN s.title ELSE
-          concat(s.title, '_', list_min(list_filter(range(2, 300), lambda k: NOT list_contains(w.taken, concat(s.title, '_', k))))) END AS pick
-      FROM walk w JOIN s ON s.n = w.n + 1))
-  SELECT row, folder_name FROM walk WHERE n > 0)""".replace(", e AS", ", e AS", 1)).replace("\n\n", "\n"))
+@query("win_unique_folder", with_views(
+    "titled",
+    """
+, walk(n, row, folder_name, taken) AS (
+  SELECT 0::BIGINT, -1::BIGINT, ''::VARCHAR, (SELECT list(name) FROM existing)
+  UNION ALL
+  SELECT n, row, pick, list_append(taken, pick) FROM (
+    SELECT s.n, s.row, w.taken, CASE WHEN NOT list_contains(w.taken, s.title) THEN s.title ELSE
+      concat(s.title, '_', list_min(list_filter(range(2, 300), lambda k: NOT list_contains(w.taken, concat(s.title, '_', k))))) END AS pick
+    FROM walk w JOIN steps s ON s.n = w.n + 1))
+SELECT row, folder_name FROM walk WHERE n > 0""",
+    existing="SELECT DISTINCT concat(p_name, '_', p_size % 5 + 2) AS name FROM part WHERE p_type = 'ECONOMY' AND p_size > 45",
+    steps="SELECT row, title, row_number() OVER (ORDER BY row) AS n FROM titled",
+))
 def _(spark, sf):
     e = table(spark, sf, "part").where("p_type = 'ECONOMY' AND p_size > 45").select(
         F.concat_ws("_", "p_name", (F.col("p_size") % 5 + 2).cast("string")).alias("folder_name")
@@ -523,9 +523,9 @@ def _(spark, sf):
 
 @query("win_rolling_eta", """
 SELECT o_orderkey AS idx, round(m, 6) AS mean_seconds, round(m * ((SELECT count(*) FROM orders) - o_orderkey), 3) AS eta_seconds FROM (
- SELECT o_orderkey, coalesce(avg(o_totalprice) OVER (ORDER BY o_orderkey ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) AS m FROM orders)""")
+ SELECT o_orderkey, coalesce(avg(sqrt(o_totalprice)) OVER (ORDER BY o_orderkey ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) AS m FROM orders)""")
 def _(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("seconds"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), F.sqrt("o_totalprice").alias("seconds"))
     out = summaries.eta(o, "idx", "seconds", o.count())
     zero = F.lit(0.0)
     return out.select(

@@ -15,10 +15,11 @@ BASE = f"https://{HOST}/photos/demo"
 SQL: dict[str, str] = {}
 
 
-def with_views(names: str, body: str) -> str:
-    """``body`` preceded by the named views, in order."""
-    parts = [f"{n} AS ({SQL[n]})" for n in names.split()]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+def with_views(names: str, body: str, **local: str) -> str:
+    """``body`` preceded by the named views and then the local ones, in order."""
+    found = [(n, SQL[n]) for n in names.split()] + list(local.items())
+    parts = [f"{n} AS MATERIALIZED ({text})" for n, text in found]
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -202,7 +203,7 @@ def dlog(spark, sf):
 # Shop albums: one per order of a customer, most of them not in the log.
 SQL["shop"] = """
 SELECT o_orderkey AS row, concat(o_custkey, ':', o_orderkey % 5) AS key, o_orderpriority AS title,
-  (o_totalprice // 10000)::INT AS image_count FROM orders
+  floor(o_totalprice / 10000)::INT AS image_count FROM orders
 """
 
 
@@ -241,7 +242,7 @@ def now():
 # Split history: the newest order of every customer; later keys win a shared date.
 SQL["history"] = """
 SELECT o_orderkey AS history_id, concat('c/', o_custkey) AS folder, o_orderdate AS split_time,
-  1 + o_orderkey % 4 AS group_count, (o_totalprice // 10000)::INT AS image_count, o_orderstatus = 'F' AS has_features
+  1 + o_orderkey % 4 AS group_count, floor(o_totalprice / 10000)::INT AS image_count, o_orderstatus = 'F' AS has_features
 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
 """
 
@@ -333,3 +334,61 @@ def labelvecs(spark, sf):
     return mean_vector(vecs(spark, sf), "label").select(
         kinds.alias("kind"), F.col("label").alias("pos"), V.l2_normalize(F.col("mean")).alias("v")
     ).withColumn("label", F.concat_ws("-", "kind", F.col("pos").cast("string")))
+
+
+# Rasters: one small picture per part; some have a white frame, some are white all over,
+# and those of size 13 are corrupt.
+SQL["rasters"] = """
+SELECT p_partkey AS image_id, p_brand AS folder, p_size, 12 + p_size % 13 AS width, 12 + (p_size * 3) % 11 AS height FROM part
+"""
+SQL["px"] = """
+SELECT image_id, width, height, x, y, CASE WHEN white THEN 255 ELSE r END AS r, CASE WHEN white THEN 255 ELSE g END AS g, CASE WHEN white THEN 255 ELSE b END AS b FROM (
+ SELECT image_id, width, height, x, y, p_size = 50 OR (p_size % 2 = 0 AND (x < 4 OR y < 4 OR x >= width - 4 OR y >= height - 4)) AS white,
+  (image_id * 31 + x * 7 + y * 13) % 256 AS r, (image_id * 17 + x * 3 + y * 5) % 256 AS g, (image_id * 11 + x * x + y) % 256 AS b
+ FROM (SELECT *, unnest(range(0, height)) AS y FROM (SELECT *, unnest(range(0, width)) AS x FROM rasters WHERE p_size <> 13)))
+"""
+
+
+def rasters(spark, sf):
+    """Rows as the image source gives them: (image_id, folder, height, width, nChannels, data)."""
+    import numpy as np
+    import pandas as pd
+
+    def paint(batches):
+        for t in batches:
+            data = []
+            for k, size, w, h in zip(t["image_id"], t["p_size"], t["width"], t["height"]):
+                y, x = np.mgrid[0:h, 0:w].astype(np.int64)
+                px = np.stack([(k * 11 + x * x + y) % 256, (k * 17 + x * 3 + y * 5) % 256, (k * 31 + x * 7 + y * 13) % 256], axis=-1)
+                frame = (x < 4) | (y < 4) | (x >= w - 4) | (y >= h - 4)
+                white = np.ones_like(frame) if size == 50 else frame if size % 2 == 0 else np.zeros_like(frame)
+                px[white] = 255
+                data.append(b"" if size == 13 else px.astype(np.uint8).tobytes())
+            bad = t["p_size"] == 13
+            yield pd.DataFrame({
+                "image_id": t["image_id"], "folder": t["folder"], "height": t["height"].where(~bad, -1), "width": t["width"].where(~bad, -1),
+                "nChannels": np.where(bad, -1, 3), "data": data,
+            })
+
+    size = F.col("p_size")
+    base = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("image_id"), F.col("p_brand").alias("folder"), "p_size",
+        (12 + size % 13).alias("width"), (12 + (size * 3) % 11).alias("height"),
+    )
+    return base.mapInPandas(paint, "image_id long, folder string, height int, width int, nChannels int, data binary")
+
+
+def pixel_rows(spark, sf):
+    """The same pictures, one row per pixel."""
+    size = F.col("p_size")
+    p = table(spark, sf, "part").where("p_size <> 13").select(
+        F.col("p_partkey").alias("image_id"), "p_size", (12 + size % 13).alias("width"), (12 + (size * 3) % 11).alias("height")
+    )
+    p = p.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    k, x, y = F.col("image_id"), F.col("x"), F.col("y")
+    frame = (x < 4) | (y < 4) | (x >= F.col("width") - 4) | (y >= F.col("height") - 4)
+    white = (size == 50) | ((size % 2 == 0) & frame)
+    tone = lambda c: F.when(white, F.lit(255)).otherwise((c % 256).cast("int"))
+    return p.select(
+        "image_id", tone(k * 31 + x * 7 + y * 13).alias("r"), tone(k * 17 + x * 3 + y * 5).alias("g"), tone(k * 11 + x * x + y).alias("b")
+    )

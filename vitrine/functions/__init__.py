@@ -1 +0,0 @@
-from . import labels, text, urls, vectors  # noqa: F401

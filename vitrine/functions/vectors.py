@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from .. import settings as S
 
@@ -14,6 +17,11 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, not at every use inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(as_double(a), as_double(b), lambda x, y: x * y),
@@ -32,8 +40,8 @@ def scale(v: Column, factor: Column | float) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; the zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(as_double(v), lambda x: x / n)).otherwise(as_double(v))
+    divide = lambda d, n: F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d)
+    return let(as_double(v), lambda d: let(norm(d), lambda n: divide(d, n)))
 
 
 def combine(shape: Column, colour: Column, weight: float = S.HSV_WEIGHT) -> Column:
@@ -55,7 +63,7 @@ def hamming(a: Column, b: Column) -> Column:
     )
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode(blob: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to a vector; empty or torn blobs give NULL."""
 
@@ -67,7 +75,7 @@ def decode(blob: pd.Series) -> pd.Series:
     return blob.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encode(v: pd.Series) -> pd.Series:
     """Vector to little-endian float32 bytes."""
     return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -78,6 +78,39 @@ def hsv_histograms(images: DataFrame, key: str = "origin") -> DataFrame:
     return _map(images, key, one, ["hsv"], "hsv array<double>")
 
 
+def hsv_columns(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """``hsv`` as column arithmetic, for tables with a row per pixel."""
+    v = F.greatest(r, g, b)
+    diff = v - F.least(r, g, b)
+    whole = lambda c: c.cast("bigint")
+    sdiv = F.when(v > 0, whole(F.rint(F.lit(255 << 12) / v))).otherwise(0)
+    hdiv = F.when(diff > 0, whole(F.rint(F.lit(180 << 12) / (diff * 6.0)))).otherwise(0)
+    s = F.shiftright(diff * sdiv + (1 << 11), 12)
+    side = F.when(v == r, g - b).when(v == g, b - r + diff * 2).otherwise(r - g + diff * 4)
+    h = F.shiftright(side * hdiv + (1 << 11), 12)
+    return F.when(h < 0, h + 180).otherwise(h), s, v
+
+
+def hsv_bins(pixels: DataFrame, key: str) -> DataFrame:
+    """(key, bin, value) of the unit colour histogram from (key, r, g, b) rows.
+
+    Pixels are counted per bin before anything is shuffled, so an image of any size can be
+    spread over many tasks.
+    """
+    hb, sb, vb = S.HSV_BINS
+    h, s, v = hsv_columns(F.col("r"), F.col("g"), F.col("b"))
+    number = (F.floor(h * hb / 180) * sb + F.floor(s * sb / 256)) * vb + F.floor(v * vb / 256)
+    back = (s < S.HSV_GREY_S) & ((v >= S.HSV_WHITE_V) | (v < S.HSV_BLACK_V))
+    bins = pixels.groupBy(key, number.cast("int").alias("bin")).agg(
+        F.count_if(~back).alias("_front"), F.count(F.lit(1)).alias("_all")
+    )
+    per = Window.partitionBy(key)
+    few = F.sum("_front").over(per) < F.sum("_all").over(per) * S.HSV_MIN_FOREGROUND
+    kept = bins.withColumn("_n", F.when(few, F.col("_all")).otherwise(F.col("_front")))
+    length = F.sqrt(F.sum(F.col("_n") * F.col("_n")).over(per))
+    return kept.select(key, "bin", (F.col("_n") / length).alias("value")).where("value > 0")
+
+
 def edge_white_ratio(bgr: np.ndarray, level: int = S.WHITE_LEVEL, share: float = S.EDGE_SHARE) -> float:
     """Share of white pixels in the bands along the four edges."""
     h, w = bgr.shape[:2]
