@@ -70,7 +70,7 @@ def album_pages(spark, sf):
         ),
         F.lit("</form>"),
     )
-    return body.select("page", F.concat(F.lit("<html><body><a href='/'>home</a>"), "body", pager, F.lit("</body></html>")).alias("html"))
+    return W.spread(body).select("page", F.concat(F.lit("<html><body><a href='/'>home</a>"), "body", pager, F.lit("</body></html>")).alias("html"))
 
 
 @query("html_albums", with_views("shown album_rows", "SELECT * FROM album_rows"))

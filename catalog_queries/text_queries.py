@@ -96,7 +96,7 @@ SELECT doc_id, CASE WHEN e = '' THEN 'untitled' ELSE e END AS name FROM (
     SELECT doc_id, regexp_replace(regexp_replace(a, '[\\/:*?"<>|]', '_', 'g'), '[_ ]{{2,}}', '_', 'g') AS b FROM (
      SELECT doc_id, regexp_replace(regexp_replace(text, '^{_SP}+', ''), '{_SP}+$', '') AS a FROM documents)))))""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.sanitize_name(F.col("text")).alias("name"))
+    return W.spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.sanitize_name(F.col("text")).alias("name"))
 
 
 @query("fn_parse_count", """

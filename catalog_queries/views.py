@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The test tables are single files of one row group; hand their rows to all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 # Vectors: every row of ``embeddings``.
 SQL["vecs"] = "SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings"
 
@@ -375,13 +380,13 @@ def rasters(spark, sf):
         F.col("p_partkey").alias("image_id"), F.col("p_brand").alias("folder"), "p_size",
         (12 + size % 13).alias("width"), (12 + (size * 3) % 11).alias("height"),
     )
-    return base.mapInPandas(paint, "image_id long, folder string, height int, width int, nChannels int, data binary")
+    return spread(base).mapInPandas(paint, "image_id long, folder string, height int, width int, nChannels int, data binary")
 
 
 def pixel_rows(spark, sf):
     """The same pictures, one row per pixel."""
     size = F.col("p_size")
-    p = table(spark, sf, "part").where("p_size <> 13").select(
+    p = spread(table(spark, sf, "part")).where("p_size <> 13").select(
         F.col("p_partkey").alias("image_id"), "p_size", (12 + size % 13).alias("width"), (12 + (size * 3) % 11).alias("height")
     )
     p = p.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))

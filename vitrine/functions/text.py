@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from .binding import let
 
 # Characters counted as white space, and those a folder name may not hold.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -19,14 +20,17 @@ def strip(col: Column) -> Column:
 
 def sanitize_name(name: Column) -> Column:
     """A title made safe to be a folder name."""
+    or_untitled = lambda c: F.when(c == "", F.lit(S.UNTITLED)).otherwise(c)
     clean = F.regexp_replace(strip(name), ILLEGAL, "_")
     clean = F.regexp_replace(clean, "[_ ]{2,}", "_")
-    clean = F.regexp_replace(clean, r"\A[ _.]+|[ _.]+\z", "")
-    clean = F.when(clean == "", F.lit(S.UNTITLED)).otherwise(clean)
-    stem = F.upper(F.substring_index(clean, ".", 1))
-    clean = F.when(stem.isin(*S.RESERVED_NAMES), F.concat(F.lit("_"), clean)).otherwise(clean)
-    short = F.regexp_replace(F.substring(clean, 1, S.MAX_NAME_LENGTH), r"[ _.]+\z", "")
-    return F.when(short == "", F.lit(S.UNTITLED)).otherwise(short)
+    clean = let(F.regexp_replace(clean, r"\A[ _.]+|[ _.]+\z", ""), or_untitled)
+
+    def unreserve(c: Column) -> Column:
+        stem = F.upper(F.substring_index(c, ".", 1))
+        return F.when(stem.isin(*S.RESERVED_NAMES), F.concat(F.lit("_"), c)).otherwise(c)
+
+    short = F.substring(let(clean, unreserve), 1, S.MAX_NAME_LENGTH)
+    return let(F.regexp_replace(short, r"[ _.]+\z", ""), or_untitled)
 
 
 def parse_count(text: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,17 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from .. import settings as S
+from .binding import let
 
 
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, not at every use inside a lambda."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(as_double(a), as_double(b), lambda x, y: x * y),
@@ -54,13 +48,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.least(F.greatest(F.lit(1.0) - dot(a, b), F.lit(0.0)), F.lit(2.0))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two hashes stored as ``array<bigint>``."""
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0),
-        lambda acc, n: acc + n,
-    )
+def hamming(a: Column, b: Column, words: int = S.PHASH_BITS // 64) -> Column:
+    """Differing bits of two hashes stored as ``array<bigint>``, in compiled code."""
+    total = F.lit(0)
+    for i in range(words):
+        total = total + F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i)))
+    return total
 
 
 @F.pandas_udf(ArrayType(FloatType()))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.vectors import as_double
-from ..session import require_small
+from ..session import cut, require_small
 from .blocks import best_k, block_pairs, ints, list_column, matrix
 from .similarity import PAIR, _pairs, top_k
 from .ordering import top_per_key
@@ -99,6 +99,7 @@ def train_codebooks(residuals: DataFrame, m: int, bits: int, seed: int = 42, ite
     train = residuals.select("v")
     if n > codes * TRAIN_PER_CELL:
         train = train.sample(False, codes * TRAIN_PER_CELL / n, seed)
+    train = cut(train)
     start = train.orderBy(F.xxhash64("v")).limit(codes).toArrow()
     book = matrix(start["v"])
     d = book.shape[1] // m

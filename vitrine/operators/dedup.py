@@ -116,6 +116,7 @@ def batch_scan(
     distinct vectors, since a copy can never be new. The final matches then come from the
     registry and the earlier new items.
     """
+    candidates = cut(candidates)
     known = cut(top_k(candidates, registry, k, block_rows=block_rows))
     taken = known.where((F.col("rank") == 1) & (F.col("sim") >= review)).select("qid")
     open_ = candidates.join(taken, "qid", "left_anti").select("qid", "v")

@@ -29,7 +29,15 @@ def _slot_name(base: str, first: int) -> Column:
     )
 
 
-def _runs(taken: DataFrame, scope: list[str], first: int, files: bool, chunk_rows: int) -> DataFrame:
+def _counted(df: DataFrame, keys: list[str], order: str, out: str, chunk_rows: int, small: bool) -> DataFrame:
+    """Row numbers per key; in chunks unless all rows together fit one."""
+    if not small:
+        return numbered(df, keys, [F.col(order)], out, row_chunk(order, chunk_rows))
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn(out, F.row_number().over(w).cast("bigint"))
+
+
+def _runs(taken: DataFrame, scope: list[str], first: int, files: bool, chunk_rows: int, small: bool) -> DataFrame:
     """Runs of blocked slots per base: after ``_free`` free slots, ``_blocked`` are taken.
 
     A taken name blocks the plain slot of its own base and, when it ends in ``_N``, slot
@@ -44,7 +52,7 @@ def _runs(taken: DataFrame, scope: list[str], first: int, files: bool, chunk_row
         number.alias("_b"),
     )
     blocked = plain.unionByName(suffixed).distinct()
-    ranked = numbered(blocked, [*scope, "_base"], [F.col("_b")], "_i", row_chunk("_b", chunk_rows))
+    ranked = _counted(blocked, [*scope, "_base"], "_b", "_i", chunk_rows, small)
     runs = ranked.groupBy(
         *scope, "_base", (F.col("_b") - F.lit(first - 1) - (F.col("_i") - 1)).alias("_free")
     ).agg(F.max("_i").alias("_blocked"))
@@ -78,15 +86,16 @@ def unique_names(
     scope = list(scope)
     keys = [*scope, "_base"]
     cols = df.columns
-    waiting = _parts(df.withColumn("_base", F.col(base)), "_base", files)
-    taken = None if existing is None else existing.select(*scope, F.col(out).alias("_name"))
+    waiting = cut(_parts(df.withColumn("_base", F.col(base)), "_base", files))
+    taken = None if existing is None else cut(existing.select(*scope, F.col(out).alias("_name")))
     done: DataFrame | None = None
     for _ in range(max_rounds):
-        ranked = numbered(waiting, keys, [F.col(row)], "_k", row_chunk(row, chunk_rows))
+        ranked = _counted(waiting, keys, row, "_k", chunk_rows, waiting.count() <= chunk_rows)
         if taken is None:
             offers = ranked.withColumn("_blocked", F.lit(0).cast("bigint"))
         else:
-            r, b = ranked.alias("r"), _runs(taken, scope, first, files, chunk_rows).alias("b")
+            few = taken.count() <= chunk_rows
+            r, b = ranked.alias("r"), _runs(taken, scope, first, files, chunk_rows, few).alias("b")
             same = F.lit(True)
             for c in keys:
                 same = same & (F.col(f"r.{c}") == F.col(f"b.{c}"))

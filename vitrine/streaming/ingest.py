@@ -39,7 +39,7 @@ def download_log(results: DataFrame, path: str, checkpoint: str) -> DataFrame:
     totals = results.groupBy("key").agg(
         F.count(F.lit(1)).alias("image_count"),
         F.count_if(F.col("outcome") != "failed").alias("downloaded"),
-        F.max("ts").alias("updated_at"),
+        F.max(F.col("ts").cast("timestamp")).alias("updated_at"),
     )
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
