@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from .binding import let
 from .text import strip
 
 
@@ -47,9 +48,11 @@ def _collapse_dots(path: Column) -> Column:
         .otherwise(F.array_append(acc, p)),
     )
     last = F.element_at(parts, -1)
-    return F.array_join(
+    text = F.array_join(
         F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/"
     )
+    # Climbing above the root ends at the root.
+    return let(text, lambda t: F.when(t.startswith("/"), t).otherwise(F.concat(F.lit("/"), t)))
 
 
 def resolve_url(base: Column, href: Column) -> Column:
