@@ -21,6 +21,12 @@ from .ordering import top_per_key
 TRAIN_PER_CELL = 256
 
 
+def _share(spark: SparkSession, table: np.ndarray):
+    """Broadcast centroids or codebooks, whose size is checked first."""
+    require_small(len(table), table.nbytes // max(1, len(table)), S.BROADCAST_BYTES, "centroid table")
+    return spark.sparkContext.broadcast(table)
+
+
 def cell_count(n: int, dim: int, quantised: bool = False) -> int:
     """⌊√n⌋ cells, kept to what every task can hold; at most n / 39 when quantised."""
     cells = max(1, math.isqrt(n))
@@ -45,8 +51,7 @@ def train_cells(items: DataFrame, cells: int | None = None, seed: int = 42, iter
 
 def assign(df: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
     """Add ``cell``: one row per nearest cell, ``probes`` of them."""
-    require_small(centres.shape[0], centres.shape[1] * 8, S.BROADCAST_BYTES, "cell centroids")
-    shared = df.sparkSession.sparkContext.broadcast(centres)
+    shared = _share(df.sparkSession, centres)
     probes = max(1, min(probes, len(centres)))
     ids = np.arange(len(centres))
 
@@ -107,7 +112,7 @@ def train_codebooks(residuals: DataFrame, m: int, bits: int, seed: int = 42, ite
         book = np.vstack([book, np.zeros((codes - len(book), book.shape[1]))])
     book = book.reshape(codes, m, d).transpose(1, 0, 2).copy()
     for _ in range(iterations):
-        shared = residuals.sparkSession.sparkContext.broadcast(book)
+        shared = _share(residuals.sparkSession, book)
 
         def run(batches):
             b = shared.value
@@ -148,7 +153,7 @@ def encode_rows(v: np.ndarray, book: np.ndarray) -> np.ndarray:
 
 def residuals(items: DataFrame, centres: np.ndarray) -> DataFrame:
     """(id, cell, v minus its cell's centroid)."""
-    shared = items.sparkSession.sparkContext.broadcast(centres)
+    shared = _share(items.sparkSession, centres)
 
     def run(batches):
         for b in batches:
@@ -166,7 +171,7 @@ def residuals(items: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def encode(residual: DataFrame, book: np.ndarray) -> DataFrame:
     """(id, cell, codes): one small whole number per sub-vector."""
-    shared = residual.sparkSession.sparkContext.broadcast(book)
+    shared = _share(residual.sparkSession, book)
 
     def run(batches):
         for b in batches:
@@ -190,8 +195,7 @@ def pq_search(
     The score of an item is the query's product with the cell centroid plus one table
     look-up per sub-vector.
     """
-    sc = queries.sparkSession.sparkContext
-    c_shared, b_shared = sc.broadcast(centres), sc.broadcast(book)
+    c_shared, b_shared = _share(queries.sparkSession, centres), _share(queries.sparkSession, book)
     m, _, d = book.shape
     wide = k * refine if items is not None else k
     placed = assign(queries.select("qid", "v"), centres, probes).withColumn("at", F.col("cell"))

@@ -76,6 +76,19 @@ def distinct_hashes(hashes: DataFrame, row: str = "row") -> DataFrame:
     return hashes.groupBy("hash").agg(F.min(row).alias(row))
 
 
+def _heads(keyed: DataFrame, row: str, threshold: int) -> DataFrame:
+    """(row, head, head hash) where the first row of a key is a match of a later one.
+
+    Nothing in the key comes before its head, so these rows need no pairs: a mass of
+    near-copies is settled against one hash.
+    """
+    first = keyed.groupBy("key").agg(F.min(F.struct(row, "hash")).alias("_f"))
+    near = (F.col(f"_f.{row}") < F.col(row)) & (hamming(F.col("hash"), F.col("_f.hash")) <= threshold)
+    return keyed.join(first, "key").where(near).select(
+        row, "hash", "key", F.col(f"_f.{row}").alias("_o"), F.col("_f.hash").alias("_oh")
+    )
+
+
 def _earlier(rest: DataFrame, others: DataFrame, row: str, threshold: int) -> DataFrame:
     a = rest.select(F.col(row).alias("_row"), F.col("hash").alias("_h"), "key")
     b = others.select(F.col(row).alias("_o"), F.col("hash").alias("_oh"), "key")
@@ -88,12 +101,17 @@ def first_neighbour(hashes: DataFrame, row: str = "row", threshold: int = S.PHAS
 
     Rows of one hash are joined as one, so a mass of copies adds a single hash to the
     band join; its later rows point at its first one or at an even earlier neighbour.
+    Within a key only rows that do not match its head are compared with the others.
     """
     once = distinct_hashes(hashes, row)
     keyed = cut(band_keys(once, threshold))
+    by_head = cut(_heads(keyed, row, threshold))
+    others = keyed.join(by_head.select(row, "key"), [row, "key"], "left_anti")
+    found = by_head.select(F.col("hash").alias("_h"), "_o", "_oh").unionByName(
+        _earlier(others, keyed, row, threshold).select("_h", "_o", "_oh")
+    )
     near = (
-        _earlier(keyed, keyed, row, threshold)
-        .groupBy("_h")
+        found.groupBy("_h")
         .agg(F.min(F.struct("_o", "_oh")).alias("_best"))
         .select(
             F.col("_h").alias("hash"), F.col("_best._o").alias("_near"),
@@ -115,22 +133,20 @@ def cover_duplicates(hashes: DataFrame, row: str = "row", threshold: int = S.PHA
     """(row, match_row) of covers within ``threshold`` bits of an earlier kept cover.
 
     ``match_row`` is the first kept row that matches. Copies of a hash are never kept, so
-    the greedy pass runs over distinct hashes.
+    the greedy pass runs over distinct hashes, and rows near the head of a key are known
+    to have an earlier match before any pairs are looked at.
     """
     once = distinct_hashes(hashes, row)
     keyed = cut(band_keys(once, threshold))
-    hit = lambda rest, others: _earlier(rest, others, row, threshold).select(
-        F.col("_row").alias(row)
-    )
     with_keys = lambda df: df.join(keyed.select(row, "key"), row)
-    kept = cut(
-        greedy_leaders(
-            once,
-            row,
-            lambda rest: hit(with_keys(rest), with_keys(rest)),
-            lambda rest, fresh: hit(with_keys(rest), with_keys(fresh)),
-        )
-    )
+    pairs = lambda a, b: _earlier(a, b, row, threshold).select(F.col("_row").alias(row))
+
+    def earlier_match(rest: DataFrame) -> DataFrame:
+        k = with_keys(rest)
+        quick = cut(_heads(k, row, threshold).select(row).distinct())
+        return quick.unionByName(pairs(k.join(quick, row, "left_anti"), k))
+
+    kept = cut(greedy_leaders(once, row, earlier_match, lambda rest, fresh: pairs(with_keys(rest), with_keys(fresh))))
     # A kept hash matches its own later copies; any other hash its first kept neighbour.
     near = _earlier(keyed, with_keys(kept), row, threshold).groupBy("_h").agg(F.min("_o").alias("_m"))
     target = (
