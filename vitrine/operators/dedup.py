@@ -31,15 +31,15 @@ def product_vectors(images: DataFrame, key: str, v: str = "v") -> DataFrame:
     A product without a usable image keeps a row with a zero vector and ``n_images`` 0, so
     that the scan can report it.
     """
-    usable = mean_vector(V.drop_zero(images, v), key, v)
-    every = images.groupBy(key).agg(F.max(F.size(v)).alias("_d"), F.count(F.lit(1)).alias("n_all"))
-    zero = F.transform(F.sequence(F.lit(1), F.col("_d")), lambda _: F.lit(0.0))
-    return every.join(usable, key, "left").select(
-        key,
-        F.coalesce(V.l2_normalize(F.col("mean")), zero).alias("vector"),
-        F.coalesce("n_images", F.lit(0)).alias("n_images"),
-        "n_all",
+    ok = V.norm(F.col(v)) > S.ZERO_NORM
+    counted = F.when(F.col("_ok"), V.as_double(F.col(v))).otherwise(F.transform(v, lambda _: F.lit(0.0)))
+    # The unit mean is the unit sum: one pass, in which unusable images add nothing.
+    sums = images.withColumn("_ok", ok).groupBy(key).agg(
+        vector_to_array(Summarizer.sum(array_to_vector(counted))).alias("_sum"),
+        F.count_if("_ok").alias("n_images"),
+        F.count(F.lit(1)).alias("n_all"),
     )
+    return sums.select(key, V.l2_normalize(F.col("_sum")).alias("vector"), "n_images", "n_all")
 
 
 def first_n_vectors(images: DataFrame, key: str, order: str, n: int = S.CLASSIFY_IMAGES, v: str = "v") -> DataFrame:

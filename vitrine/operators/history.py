@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ordering import latest_per_key, numbered, row_chunk
 
 
@@ -20,9 +21,11 @@ def write(
     """
     last = latest_per_key(splits, ["folder"], [F.col(row).desc()])
     top = history.agg(F.coalesce(F.max("history_id"), F.lit(0)).alias("m")).first()["m"]
-    fresh = numbered(last, [], [F.col(row)], "_n", row_chunk(row)).withColumn(
-        "history_id", F.col("_n") + F.lit(int(top))
-    ).drop("_n")
+    fresh = cut(
+        numbered(cut(last), [], [F.col(row)], "_n", row_chunk(row))
+        .withColumn("history_id", F.col("_n") + F.lit(int(top)))
+        .drop("_n")
+    )
     stale = history.join(fresh.select("folder"), "folder", "left_semi").select("history_id")
     ids = fresh.select(row, "history_id")
     keep = lambda t: t.join(stale, "history_id", "left_anti")

@@ -163,8 +163,9 @@ def title_duplicates(albums: DataFrame, title: str = "title", row: str = "row")
     The first rows are found by a partial aggregation and joined back, so a title shared
     by very many albums is never sorted in one task.
     """
-    first = albums.groupBy(title).agg(F.min(row).alias("first_row"))
-    return albums.join(first, title).withColumn("is_duplicate", F.col(row) != F.col("first_row"))
+    first = albums.groupBy(F.col(title).alias("_title")).agg(F.min(row).alias("first_row"))
+    same = F.col(title).eqNullSafe(F.col("_title"))
+    return albums.join(first, same).drop("_title").withColumn("is_duplicate", F.col(row) != F.col("first_row"))
 
 
 def album_duplicates(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut
 from .ordering import latest_per_key, numbered, row_chunk
 
 
@@ -39,17 +40,18 @@ def append(incoming: DataFrame, products: DataFrame, row: str) -> tuple[DataFram
     """Rows to add, with ids after the highest one, and the conflicting rest.
 
     A folder is added once: rows whose folder is registered, or came earlier in the same
-    batch (``row`` order), are conflicts.
+    batch (``row`` order), are conflicts. The first row of every folder is picked before
+    the registry is looked at, so a folder repeated very often is thinned out ahead of the
+    shuffle; and only row numbers, not whole records, are ranked.
     """
-    fresh = new_folders(incoming, products)
-    first = latest_per_key(fresh, ["folder"], [F.col(row)])
+    first = latest_per_key(incoming.select(row, "folder"), ["folder"], [F.col(row)])
+    kept = cut(new_folders(first, products).select(F.col(row).alias("_row")))
     top = products.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    added = numbered(first, [], [F.col(row)], "_n", row_chunk(row)).withColumn(
-        "id", F.col("_n") + F.lit(int(top))
+    ids = numbered(kept, [], [F.col("_row")], "_n", row_chunk("_row")).select(
+        "_row", (F.col("_n") + F.lit(int(top))).alias("id")
     )
-    kept = first.select(F.col(row).alias("_row"))
-    conflicts = incoming.join(kept, F.col(row) == F.col("_row"), "left_anti")
-    return added.drop("_n"), conflicts
+    own = F.col(row) == F.col("_row")
+    return incoming.join(ids, own).drop("_row"), incoming.join(kept, own, "left_anti")
 
 
 def delete(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
