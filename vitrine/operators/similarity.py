@@ -84,7 +84,8 @@ def within_groups(
             raise ValueError(f"a group holds {t.num_rows} images, above {limit}")
         t = t.sort_by(idx)
         ids = ints(t[idx])
-        dist = np.clip(1.0 - similarities(matrix(t[v]), matrix(t[v])), 0.0, 2.0)
+        m = matrix(t[v])
+        dist = np.clip(1.0 - m @ m.T, 0.0, 2.0)
         i, j = np.triu_indices(len(ids), 1)
         out = {g: pa.array([t[g][0].as_py()] * len(i), t[g].type) for g in group}
         return pa.table({**out, "i": ids[i], "j": ids[j], "distance": dist[i, j]})
