@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_duplicates, sentencepiece_codec
+from ..session import scratch_path
+from . import bit_codes, main_text, near_duplicates, sentencepiece_codec, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +28,34 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op9_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, centre, bits = bit_codes.build(table(spark, sf_dir, "embeddings"))
+    return bit_codes.search(index, index.where("vec_id % 100 = 0"), centre, bits)
+
+
+
+ORACLE["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT p.page_id, p.n::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(p.x, (1 + 10 * (i // 8))::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN p.page_id = m.top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> m.top THEN m.top END AS refers_to
+FROM p JOIN m USING (h)
+"""
