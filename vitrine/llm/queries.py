@@ -53,7 +53,7 @@ ORACLE["op4_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
 m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
 SELECT p.page_id, p.n::BIGINT AS payload_bytes,
-  list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(p.x, (1 + 10 * (i // 8))::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN p.page_id = m.top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN p.page_id <> m.top THEN m.top END AS refers_to
