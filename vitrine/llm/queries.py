@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bit_codes, main_text, near_duplicates, sentencepiece_codec, warc
+from . import bit_codes, decontaminate, main_text, near_duplicates, sentencepiece_codec, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,27 @@ SELECT p.page_id, p.n::BIGINT AS payload_bytes,
   CASE WHEN p.page_id <> m.top THEN m.top END AS refers_to
 FROM p JOIN m USING (h)
 """
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op5_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id AS id, 0 AS kind, coalesce(text, '') AS t FROM documents UNION ALL
+  SELECT item_id, 1, coalesce(text, '') FROM benchmark),
+w AS (
+  SELECT id, kind, list_filter(string_split_regex(
+    translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+s AS (
+  SELECT DISTINCT id, kind, unnest(CASE WHEN len(w) >= 5
+    THEN list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))
+    ELSE [array_to_string(w, ' ')] END) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY id),
+x AS (SELECT a.id AS doc_id, b.id AS item_id, count(*) AS n_shared
+      FROM s a JOIN s b ON a.s = b.s AND a.kind = 0 AND b.kind = 1 GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM x JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item
+"""
