@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bit_codes, decontaminate, main_text, near_duplicates, pii, sentencepiece_codec, warc
+from . import bit_codes, decontaminate, interpolated_lm, main_text, near_duplicates, pii, sentencepiece_codec, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ FROM x JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item
 @query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score(table(spark, sf_dir, "documents"))
