@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bit_codes, decontaminate, interpolated_lm, main_text, near_duplicates, pii, sentencepiece_codec, warc
-from .common import table
+from . import bit_codes, decontaminate, interpolated_lm, main_text, near_duplicates, pii, rule_quality, sentencepiece_codec, toxicity, warc
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
