@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over the presence of words. For every labelled text that names a group,
+A logistic model over the presence of words and of their beginnings. For every labelled text that names a group,
 the identity term is swapped for each other term of its list, and the squared change of the
 score is penalised, so that the terms end with one shared weight near that of the neutral
 word at the head of the list, and a neutral mention of any group says nothing.
@@ -26,9 +26,11 @@ TRAIN_ROWS = 20_000
 FEATURES = 2_048
 MIN_TEXTS = 4
 SWAP_PENALTY = 1.0
-RIDGE = 1e-4
+RIDGE = 2e-5
 REJECT_FROM = 0.7
 WORD = re.compile(r"\w+")
+#: Lengths of the beginnings of words that are features besides the words.
+STEMS = (4, 5, 6, 7)
 
 # Identity terms that may stand for each other, a neutral word first.
 IDENTITIES = (
@@ -40,6 +42,15 @@ IDENTITIES = (
 )
 
 
+def features_of(text: str) -> set[str]:
+    """The distinct words of a text, and their beginnings: stems carry over to unseen endings."""
+    words = set(WORD.findall(text.lower()))
+    out = set(words)
+    for n in STEMS:
+        out.update([w[:n] + "*" for w in words if len(w) > n])
+    return out
+
+
 @dataclass
 class Model:
     words: dict[str, float]
@@ -47,7 +58,7 @@ class Model:
 
     def score(self, text: str) -> float:
         known = self.words
-        logit = self.intercept + sum(known[w] for w in sorted(set(WORD.findall(text.lower())).intersection(known)))
+        logit = self.intercept + sum(known[w] for w in sorted(features_of(text).intersection(known)))
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
@@ -71,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 3,
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             texts_seen = Counter(part["label"])
             for text, label in zip(part["text"], part["label"], strict=True):
-                seen[label].update(set(WORD.findall(text.lower())))
+                seen[label].update(features_of(text))
             out = [(w, seen[0][w], seen[1][w]) for w in seen[0].keys() | seen[1].keys()]
             yield pd.DataFrame([*out, ("", texts_seen[0], texts_seen[1])], columns=["word", "no", "yes"])
 
@@ -88,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 3,
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches, "text"):
-            found = [sorted(place[w] for w in set(WORD.findall(t.lower())) if w in place) for t in part["text"]]
+            found = [sorted(place[w] for w in features_of(t) if w in place) for t in part["text"]]
             yield pd.DataFrame({"label": part["label"], "at": found})
 
     # Bounded by train_rows texts and the size of the model.
