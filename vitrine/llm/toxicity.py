@@ -42,10 +42,16 @@ IDENTITIES = (
 )
 
 
+TERMS = frozenset(t for group in IDENTITIES for t in group)
+
+
 def features_of(text: str) -> set[str]:
-    """The distinct words of a text, and their beginnings: stems carry over to unseen endings."""
-    words = set(WORD.findall(text.lower()))
-    out = set(words)
+    """The distinct words of a text, and their beginnings: stems carry over to unseen endings.
+
+    Identity terms have no beginnings, which would escape the swaps.
+    """
+    out = set(WORD.findall(text.lower()))
+    words = out - TERMS
     for n in STEMS:
         out.update([w[:n] + "*" for w in words if len(w) > n])
     return out
@@ -94,8 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 3,
     odds = lambda hit, all_: F.log((F.col(hit) + 0.5) / (all_ - F.col(hit) + 0.5))
     strength = F.abs(odds("yes", yes) - odds("no", no)) / F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
     chosen = sums.where((F.col("word") != "") & (F.col("yes") + F.col("no") >= MIN_TEXTS)).orderBy(strength.desc(), "word").limit(features)
-    terms = [t for group in IDENTITIES for t in group]
-    place = {w: i for i, w in enumerate(sorted({r["word"] for r in chosen.select("word").collect()} | set(terms)))}
+    place = {w: i for i, w in enumerate(sorted({r["word"] for r in chosen.select("word").collect()} | TERMS))}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches, "text"):
@@ -113,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 3,
     swaps = [(place[a], place[b], mentions[place[a]]) for group in IDENTITIES for a in group for b in group if a != b and mentions[place[a]] > 0]
     a, b, n = (np.array(c) for c in zip(*swaps, strict=True)) if swaps else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     neutral = np.array([place[group[0]] for group in IDENTITIES])
-    named = np.array([place[t] for t in terms])
+    named = np.array([place[t] for t in sorted(TERMS)])
     w, bias = np.zeros(len(place)), np.log(yes / no)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, 401):  # Adam on the whole sample
