@@ -577,10 +577,10 @@ def _(spark, sf):
 
 @query("listing_feed", with_views("listings marks shots", """
 SELECT l.row, l.folder, coalesce(nullif(trim(title), ''), l.folder) AS title, printf('%.2f', price) AS price,
- least(c.n, 5) AS n_main, least(greatest(c.n - 5, 0), 100) AS n_detail, CASE WHEN m.folder IS NULL THEN 'waiting' ELSE 'uploaded' END AS state
-FROM listings l JOIN (SELECT folder, count(*) AS n FROM shots GROUP BY 1) c ON l.folder = concat('f', c.folder) LEFT JOIN marks m ON m.parent_dir = l.parent_dir AND m.folder = l.folder"""))
+ least(coalesce(c.n, 0), 5) AS n_main, least(greatest(coalesce(c.n, 0) - 5, 0), 100) AS n_detail, CASE WHEN m.folder IS NULL THEN 'waiting' ELSE 'uploaded' END AS state
+FROM listings l LEFT JOIN (SELECT folder, count(*) AS n FROM shots GROUP BY 1) c ON l.folder = concat('f', c.folder) LEFT JOIN marks m ON m.parent_dir = l.parent_dir AND m.folder = l.folder"""))
 def _(spark, sf):
     images = listing.listing_images(shots(spark, sf)).withColumn("folder", F.concat(F.lit("f"), F.col("folder").cast("string")))
     path = scratch_path(spark, "feed")
-    listing.feed(W.listings(spark, sf).join(images, "folder"), W.marks(spark, sf)).write.json(path)
+    listing.feed(W.listings(spark, sf).join(images, "folder", "left"), W.marks(spark, sf)).write.json(path)
     return spark.read.schema("row bigint, folder string, title string, price string, n_main int, n_detail int, state string").json(path)

@@ -57,7 +57,7 @@ def _(spark, sf):
         "page_id",
         "pos",
         U.resolve_url(F.lit(W.BASE), F.col("href")).alias("absolute"),
-        U.resolve_url(F.lit(W.BASE), F.substring("href", 2, 10**6)).alias("relative"),
+        U.resolve_url(F.lit(W.BASE), F.substring(F.col("href"), F.lit(2), F.length("href"))).alias("relative"),
         U.cover_url(F.concat(F.lit("/"), F.col("href"))).alias("cover"),
     )
 

@@ -211,3 +211,15 @@ def test_hot_cell_is_cut_into_blocks(spark):
     hot = similarity.top_k(q, items, 5, "cell", block_rows=32)
     want = similarity.top_k(frame(spark, enumerate(v[:20])), frame(spark, enumerate(v), "id"), 5)
     assert sorted(map(tuple, hot.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_torn_and_null_vectors_are_refused():
+    import pyarrow as pa
+    import pytest
+
+    from vitrine.operators.blocks import matrix
+
+    assert matrix(pa.chunked_array([[[1.0, 2.0]], [[3.0, 4.0]]])).shape == (2, 2)
+    for rows in ([[1.0] * 64, [2.0] * 60], [[1.0] * 4, None, [2.0] * 2]):
+        with pytest.raises(ValueError):
+            matrix(pa.chunked_array([rows], type=pa.list_(pa.float64())))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +16,13 @@ SIM_DECIMALS = 9
 
 
 def matrix(column: pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
-    """List column of equal lengths as an (n, d) array, without per-row objects."""
+    """List column as an (n, d) array, without per-row objects; null and unequal lists are refused."""
     n = len(column)
     if n == 0:
         return np.empty((0, 0), dtype=dtype)
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if column.null_count or lengths["min"] != lengths["max"]:
+        raise ValueError(f"vectors of {lengths['min']} to {lengths['max']} entries and {column.null_count} nulls in one block")
     flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
     return flat.reshape(n, -1).astype(dtype, copy=False)
 

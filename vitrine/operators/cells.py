@@ -29,10 +29,10 @@ def _share(spark: SparkSession, table: np.ndarray):
 
 def cell_count(n: int, dim: int, quantised: bool = False) -> int:
     """⌊√n⌋ cells, kept to what every task can hold; at most n / 39 when quantised."""
-    cells = max(1, math.isqrt(n))
-    if quantised and n < cells * 39:
-        cells = max(1, n // 39)
-    return max(1, min(cells, S.MAX_CELLS, S.BROADCAST_BYTES // (8 * dim)))
+    limits = [math.isqrt(n), S.MAX_CELLS, S.BROADCAST_BYTES // (8 * dim)]
+    if quantised:
+        limits.append(n // 39)
+    return max(1, min(limits))
 
 
 def train_cells(items: DataFrame, cells: int | None = None, seed: int = 42, iterations: int = 10) -> np.ndarray:
@@ -85,12 +85,9 @@ def search(
 
 
 def pq_shape(dim: int, n: int, m: int = S.PQ_SUBVECTORS, bits: int = S.PQ_BITS) -> tuple[int, int]:
-    """Sub-vector count lowered until it divides ``dim``; code bits until 2^bits <= n, at least 4."""
-    while dim % m and m > 1:
-        m -= 1
-    while 2**bits > n and bits > 4:
-        bits -= 1
-    return m, bits
+    """The largest divisor of ``dim`` up to m, and the whole log2 of n between 4 and ``bits``."""
+    parts = max(d for d in range(1, m + 1) if dim % d == 0)
+    return parts, min(bits, max(4, n.bit_length() - 1))
 
 
 def train_codebooks(residuals: DataFrame, m: int, bits: int, seed: int = 42, iterations: int = 6) -> np.ndarray:

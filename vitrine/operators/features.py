@@ -11,8 +11,9 @@ from .ordering import latest_per_key
 KEY = ["key", "namespace"]
 
 
-def age_seconds(now: Column, then: Column) -> Column:
-    return (F.unix_micros(now) - F.unix_micros(then)) / 1e6
+def since(now: Column, days: int) -> Column:
+    """The oldest time that is not more than ``days`` ago; compared with the bare column it reaches the scan."""
+    return now - F.make_dt_interval(F.lit(days))
 
 
 def lookup(wanted: DataFrame, store: DataFrame, now: Column, days: int = S.FEATURE_TTL_DAYS) -> DataFrame:
@@ -21,7 +22,7 @@ def lookup(wanted: DataFrame, store: DataFrame, now: Column, days: int = S.FEATU
     ``wanted`` has key, namespace and mtime; ``hit`` tells which rows need computing.
     """
     s = store.select(*KEY, F.col("mtime").alias("_mtime"), "written_at", "feature")
-    fresh = s.where(age_seconds(now, F.col("written_at")) <= days * 86400)
+    fresh = s.where(F.col("written_at") >= since(now, days))
     on = [wanted[c] == fresh[c] for c in KEY] + [F.col("mtime") == F.col("_mtime")]
     joined = wanted.join(fresh, on, "left")
     return joined.select(
@@ -47,4 +48,4 @@ def clear(store: DataFrame, namespace: str | None = None) -> DataFrame:
 
 def unexpired(store: DataFrame, now: Column, days: int = S.FEATURE_TTL_DAYS) -> DataFrame:
     """Entries not older than ``days``; exactly that age still counts."""
-    return store.where(age_seconds(now, F.col("written_at")) <= days * 86400)
+    return store.where(F.col("written_at") >= since(now, days))

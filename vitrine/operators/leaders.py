@@ -14,7 +14,6 @@ def greedy_leaders(
     row: str,
     earlier_match: Callable[[DataFrame], DataFrame],
     matched_by: Callable[[DataFrame, DataFrame], DataFrame],
-    max_rounds: int = 200,
 ) -> DataFrame:
     """Rows that a one-by-one pass would keep.
 
@@ -22,11 +21,11 @@ def greedy_leaders(
     ``matched_by(rest, kept)`` the rows with an earlier match among ``kept``. A row without
     an undecided earlier match is kept; rows matched by it are then settled too. Both
     steps report rows, never pairs, so a large group of copies costs one row per member.
-    The first undecided row is always kept, so every round makes progress.
+    The first undecided row is always kept, so every round makes progress and the loop ends.
     """
     rest = cut(items)
     kept: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
         blocked = earlier_match(rest).select(row).distinct()
         flagged = cut(_flag(rest, blocked, row))
         fresh = flagged.where("NOT _hit").drop("_hit")
@@ -38,7 +37,6 @@ def greedy_leaders(
         rest = cut(_flag(open_, settled, row).where("NOT _hit").drop("_hit"))
         if rest.isEmpty():
             return kept
-    raise RuntimeError(f"rows still undecided after {max_rounds} rounds")
 
 
 def _flag(df: DataFrame, rows: DataFrame, row: str) -> DataFrame:

@@ -85,14 +85,14 @@ def check_listing(title: Column, price_text: Column, selected: Column) -> Column
 
 
 def feed(listings: DataFrame, marks: DataFrame) -> DataFrame:
-    """Final rows: title or folder name, price, image counts and upload state."""
+    """Final rows: title or folder name, price, image counts (none: 0) and upload state."""
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("folder"))
     return join_marks(listings, marks).select(
         "row",
         "folder",
         title.alias("title"),
         F.format_string("%.2f", "price").alias("price"),
-        F.size("main_images").alias("n_main"),
-        F.size("detail_images").alias("n_detail"),
+        F.coalesce(F.size("main_images"), F.lit(0)).alias("n_main"),
+        F.coalesce(F.size("detail_images"), F.lit(0)).alias("n_detail"),
         F.when(F.col("uploaded"), "uploaded").otherwise("waiting").alias("state"),
     )

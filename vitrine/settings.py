@@ -18,7 +18,6 @@ MAX_NAME_SUFFIX = 10001
 CLIP_DIM = 512
 HSV_BINS = (16, 3, 2)
 HSV_WEIGHT = 1.5
-COMBINED_DIM = 608
 HSV_BLACK_V = 30
 HSV_WHITE_V = 240
 HSV_GREY_S = 15
@@ -29,13 +28,10 @@ REVIEW_THRESHOLD = 0.85
 SEARCH_K = 5
 ZERO_NORM = 1e-6
 
-IVF_FROM = 5_000
-PQ_FROM = 500_000
 PQ_SUBVECTORS = 32
 PQ_BITS = 8
 PROBES = 16
 REBUILD_RATIO = 0.2
-REGISTER_BATCH = 500
 
 PHASH_SIZE = 16
 PHASH_BITS = 256
@@ -68,23 +64,6 @@ TITLE_SUFFIXES = ("百搭", "时尚单品", "穿搭必备", "好物")
 DEFAULT_CATEGORY = "商品"
 EMPTY_FOLDER_TITLE = "(空文件夹)"
 
-CATEGORY_LABELS = (
-    ("a photo of shoes", "鞋子"),
-    ("a photo of a handbag", "包包"),
-    ("a photo of a jacket", "外套"),
-    ("a photo of a t-shirt", "T恤"),
-    ("a photo of pants", "裤子"),
-    ("a photo of a hoodie", "卫衣"),
-    ("a photo of a hat", "帽子"),
-    ("a photo of a watch", "手表"),
-    ("a photo of a belt", "腰带"),
-    ("a photo of a scarf", "围巾"),
-)
-COLOUR_LABELS = (
-    "红色", "蓝色", "绿色", "黑色", "白色", "灰色", "棕色", "紫色",
-    "粉色", "橙色", "黄色", "青色", "金色", "银色", "透明",
-)
-STYLE_LABELS = ("休闲", "正式", "运动", "时尚", "复古", "简约", "奢华", "街头")
 CATEGORY_FLOOR = 0.2
 COLOUR_FLOOR = 0.15
 STYLE_FLOOR = 0.15
