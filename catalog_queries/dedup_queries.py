@@ -176,12 +176,17 @@ def _(spark, sf):
     return found.select("qid", "id", F.round("sim", 6).alias("sim"), "rank")
 
 
-@query("vector_cells_write")
+@query("vector_cells_write", "SELECT vec_id AS id, 1::BIGINT AS copies, true AS in_nearest FROM embeddings")
 def _(spark, sf):
     stock = registry_items(spark, sf)
     path = scratch_path(spark, "cells")
     cells.write(stock, cells.train_cells(stock), path, "2024-01-01")
-    return spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    written = spark.read.parquet(f"{path}/vectors").select("id", "cell", F.posexplode("v").alias("pos", "x"))
+    # Every stored row against every centroid, summed entry by entry.
+    centroids = spark.read.parquet(f"{path}/centroids").select(F.col("cell").alias("other"), F.posexplode("v").alias("pos", "y"))
+    scores = written.join(centroids, "pos").groupBy("id", "cell", "other").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.count(F.lit(1)).alias("n"))
+    best = scores.groupBy("id").agg(F.max("s").alias("top"), F.max(F.expr("if(cell = other, s, null)")).alias("own"), F.count_if(F.col("cell") == F.col("other")).alias("copies"))
+    return best.select("id", "copies", (F.col("own") >= F.col("top") - 1e-8).alias("in_nearest"))
 
 
 @query("vector_cells_read", "SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM embeddings")
@@ -194,12 +199,33 @@ def _(spark, sf):
     return stored.select("id", (F.round(F.get("v", 0).cast("double"), 6) + 0.0).alias("first"))
 
 
-# Cells here are the labels; rows after the middle of the table came after training.
-@query("vector_cells_append", with_views("vecs", """
-SELECT coalesce(label, -1) AS cell, count(*) FILTER (id < 350) AS trained, count(*) FILTER (id >= 350) AS added,
- count(*) FILTER (id < 350) > 0 AND count(*) FILTER (id >= 350) > count(*) FILTER (id < 350) * 0.2 AS retrain FROM vecs GROUP BY ROLLUP (label)"""))
+# Three deliveries that together are the whole table: 12, 1 and 3 of every 16 rows. The
+# second adds too little to train anew, the third enough.
+@query("vector_cells_append", """
+SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, (SELECT count(*) FROM embeddings) AS trained, false AS anew_second, true AS anew_third FROM embeddings""")
 def _(spark, sf):
-    aged = W.vecs(spark, sf).select("id", F.col("label").alias("cell"), F.when(F.col("id") < 350, "2024-01-01").otherwise("2024-02-01").alias("added_at"))
+    stock = registry_items(spark, sf)
+    share = F.col("id") % 16
+    path = scratch_path(spark, "growing")
+    first = stock.where(share < 12)
+    centres = cells.train_cells(first)
+    dim = centres.shape[1]
+    cells.write(first, centres, path, "2024-01-01")
+    path, second = cells.extend(path, stock.where(share == 12), dim, "2024-02-01")
+    path, third = cells.extend(path, stock.where(share > 12), dim, "2024-03-01")
+    stored, _, meta = cells.read(spark, path, dim)
+    return stored.select(
+        "id", (F.round(F.get("v", 0).cast("double"), 6) + 0.0).alias("first"), F.lit(meta["trained"]).cast("long").alias("trained"),
+        F.lit(second).alias("anew_second"), F.lit(third).alias("anew_third"),
+    )
+
+
+# Cells here are the labels; three rows of ten came after training.
+@query("vector_cells_drift", with_views("vecs", """
+SELECT coalesce(label, -1) AS cell, count(*) FILTER (id % 10 < 7) AS trained, count(*) FILTER (id % 10 >= 7) AS added,
+ count(*) FILTER (id % 10 < 7) > 0 AND count(*) FILTER (id % 10 >= 7) > count(*) FILTER (id % 10 < 7) * 0.2 AS retrain FROM vecs GROUP BY ROLLUP (label)"""))
+def _(spark, sf):
+    aged = W.vecs(spark, sf).select("id", F.col("label").alias("cell"), F.when(F.col("id") % 10 < 7, "2024-01-01").otherwise("2024-02-01").alias("added_at"))
     return cells.drift(aged, "added_at", "2024-01-01").withColumn("cell", F.coalesce("cell", F.lit(-1)))
 
 

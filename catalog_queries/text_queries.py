@@ -301,12 +301,20 @@ def _(spark, sf):
     )
 
 
-W.SQL["neighbours"] = "SELECT a.id, a.v, b.v AS w FROM vecs a JOIN vecs b ON b.id = a.id + 1"
+# The last vector's neighbour is the first one.
+W.SQL["neighbours"] = """
+SELECT a.id, a.v, b.v AS w FROM vecs a JOIN vecs b ON b.id = CASE WHEN a.id = (SELECT max(id) FROM vecs) THEN (SELECT min(id) FROM vecs) ELSE a.id + 1 END"""
+
+
+def wrapped(rows, key):
+    """The key of the row whose neighbour a row is: one less, and the largest for the smallest."""
+    ends = rows.agg(F.min(key), F.max(key)).first()
+    return F.when(F.col(key) == ends[0], F.lit(ends[1])).otherwise(F.col(key) - 1)
 
 
 def neighbours(spark, sf):
     v = W.vecs(spark, sf).select("id", "v")
-    return v.join(v.select((F.col("id") - 1).alias("id"), F.col("v").alias("w")), "id")
+    return v.join(v.select(wrapped(v, "id").alias("id"), F.col("v").alias("w")), "id")
 
 
 @query("fn_dot", with_views("vecs neighbours", "SELECT id, round(list_inner_product(v, w), 6) + 0.0 AS sim FROM neighbours"))
@@ -322,10 +330,10 @@ def _(spark, sf):
 
 @query("fn_hamming", with_views("albums", """
 SELECT a.row, bit_count(xor(a.h0, b.h0))::INT + bit_count(xor(a.h1, b.h1)) + bit_count(xor(a.h2, b.h2)) + bit_count(xor(a.h3, b.h3)) AS distance
-FROM albums a JOIN albums b ON b.row = a.row + 1"""))
+FROM albums a JOIN albums b ON b.row = CASE WHEN a.row = (SELECT max(row) FROM albums) THEN (SELECT min(row) FROM albums) ELSE a.row + 1 END"""))
 def _(spark, sf):
     a = W.albums(spark, sf).select("row", "hash")
-    b = a.select((F.col("row") - 1).alias("row"), F.col("hash").alias("other"))
+    b = a.select(wrapped(a, "row").alias("row"), F.col("hash").alias("other"))
     return a.join(b, "row").select("row", V.hamming(F.col("hash"), F.col("other")).alias("distance"))
 
 

@@ -18,9 +18,18 @@ from .blocks import best_k, block_pairs, ints, list_column, matrix
 from .similarity import PAIR, _pairs, top_k
 from .ordering import top_per_key
 
+#: Training looks at about so many rows per centroid or code; every row is placed afterwards.
 TRAIN_PER_CELL = 256
 
 
+def _drawn(items: DataFrame, want: int, n: int) -> DataFrame:
+    """About ``want`` of the ``n`` rows, drawn by the hash of their id: the same rows
+    however the table is partitioned."""
+    if n <= want:
+        return items
+    return items.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 31)) < int(want / n * (1 << 31)))
+
+
 def _share(spark: SparkSession, table: np.ndarray):
     """Broadcast centroids or codebooks, whose size is checked first."""
     require_small(len(table), table.nbytes // max(1, len(table)), S.BROADCAST_BYTES, "centroid table")
@@ -35,15 +44,15 @@ def cell_count(n: int, dim: int, quantised: bool = False) -> int:
     return max(1, min(limits))
 
 
-def train_cells(items: DataFrame, cells: int | None = None, seed: int = 42, iterations: int = 10) -> np.ndarray:
-    """Centroids of the cells, one row each. Training looks at 256 rows per cell at most;
-    every row is placed in a cell afterwards."""
+def train_cells(
+    items: DataFrame, cells: int | None = None, seed: int = 42, iterations: int = 10, per_cell: int = TRAIN_PER_CELL
+) -> np.ndarray:
+    """Centroids of the cells, one row each, from (id, v). Training looks at about
+    ``per_cell`` rows per cell; every row is placed in a cell afterwards."""
     n = items.count()
     dim = len(items.select("v").first()["v"])
     k = cells or cell_count(n, dim)
-    train = items.select(array_to_vector(as_double(F.col("v"))).alias("features"))
-    if n > k * TRAIN_PER_CELL:
-        train = train.sample(False, k * TRAIN_PER_CELL / n, seed)
+    train = _drawn(items, k * per_cell, n).select(array_to_vector(as_double(F.col("v"))).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=iterations, distanceMeasure="cosine", initMode="random").fit(train)
     centres = np.asarray(model.clusterCenters())
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
@@ -90,18 +99,14 @@ def pq_shape(dim: int, n: int, m: int = S.PQ_SUBVECTORS, bits: int = S.PQ_BITS)
     return parts, min(bits, max(4, n.bit_length() - 1))
 
 
-def train_codebooks(residuals: DataFrame, m: int, bits: int, seed: int = 42, iterations: int = 6) -> np.ndarray:
+def train_codebooks(residuals: DataFrame, m: int, bits: int, iterations: int = 6, per_code: int = TRAIN_PER_CELL) -> np.ndarray:
     """(m, 2^bits, dim/m) codebooks by k-means on every sub-vector at once.
 
     Each pass sends the codebooks out and brings back one sum and count per code, summed
     in the tasks first, so the driver sees a table of fixed size whatever the data.
     """
     codes = 2**bits
-    n = residuals.count()
-    train = residuals.select("v")
-    if n > codes * TRAIN_PER_CELL:
-        train = train.sample(False, codes * TRAIN_PER_CELL / n, seed)
-    train = cut(train)
+    train = cut(_drawn(residuals, codes * per_code, residuals.count()).select("v"))
     start = train.orderBy(F.xxhash64("v")).limit(codes).toArrow()
     book = matrix(start["v"])
     d = book.shape[1] // m
@@ -230,7 +235,8 @@ def write(items: DataFrame, centres: np.ndarray, path: str, trained_at: str) ->
     """Vectors by cell, the centroid table, and one row of facts about the training."""
     spark = items.sparkSession
     placed = items if "cell" in items.columns else assign(items, centres)
-    placed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    # A cell's rows meet before they are written; a hot cell is split again by size.
+    placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
     spark.createDataFrame(rows, "cell int, v array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
     facts = [(int(centres.shape[1]), int(len(centres)), int(items.count()), trained_at)]
@@ -251,7 +257,26 @@ def read(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, np.ndarra
 
 def append(path: str, items: DataFrame, centres: np.ndarray) -> None:
     """Add vectors to the stored cells."""
-    assign(items, centres).write.mode("append").partitionBy("cell").parquet(f"{path}/vectors")
+    placed = assign(items, centres).hint("rebalance", "cell")
+    placed.write.mode("append").partitionBy("cell").parquet(f"{path}/vectors")
+
+
+def extend(path: str, items: DataFrame, dim: int, trained_at: str, ratio: float = S.REBUILD_RATIO) -> tuple[str, bool]:
+    """Append (id, v), and train anew when the rows since training exceed ``ratio`` of those
+    trained on.
+
+    Returns the folder to read from now on and whether it was trained anew. The new layout
+    goes to a folder of its own, so readers of the old one and a failed run lose nothing.
+    """
+    spark = items.sparkSession
+    _, centres, meta = read(spark, path, dim)
+    append(path, items.select("id", "v"), centres)
+    stored = spark.read.parquet(f"{path}/vectors").select("id", "v")
+    if stored.count() - meta["trained"] <= meta["trained"] * ratio:
+        return path, False
+    fresh = f"{path}_{trained_at}"
+    write(stored, train_cells(stored), fresh, trained_at)
+    return fresh, True
 
 
 def drift(items: DataFrame, added_at: str, trained_at, ratio: float = S.REBUILD_RATIO) -> DataFrame:

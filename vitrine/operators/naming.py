@@ -71,7 +71,6 @@ def unique_names(
     files: bool = False,
     max_suffix: int | None = S.MAX_NAME_SUFFIX,
     chunk_rows: int = S.CHUNK_ROWS,
-    max_rounds: int = 100,
 ) -> DataFrame:
     """Give every row, in ``row`` order, the first name not taken before it.
 
@@ -82,6 +81,8 @@ def unique_names(
     Rows of one base are counted in parallel and offered consecutive free numbers. Only a
     literal ``x_2`` can compete with a generated one, so after each round the offers that
     no earlier waiting row could claim are final, and the few others are offered again.
+    The earliest waiting row is settled each time, so the rounds end without a limit. A row
+    that would need a number above ``max_suffix`` has a NULL name; the others keep theirs.
     """
     scope = list(scope)
     keys = [*scope, "_base"]
@@ -89,7 +90,7 @@ def unique_names(
     waiting = cut(_parts(df.withColumn("_base", F.col(base)), "_base", files))
     taken = None if existing is None else cut(existing.select(*scope, F.col(out).alias("_name")))
     done: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
         ranked = _counted(waiting, keys, row, "_k", chunk_rows, waiting.count() <= chunk_rows)
         if taken is None:
             offers = ranked.withColumn("_blocked", F.lit(0).cast("bigint"))
@@ -143,10 +144,8 @@ def unique_names(
         waiting = judged.where("NOT _ok").select(*cols, "_base", "_stem", "_ext")
         if waiting.isEmpty():
             break
-    else:
-        raise RuntimeError(f"names still collide after {max_rounds} rounds")
-    if max_suffix is not None and not done.where(F.col("_slot") > max_suffix).isEmpty():
-        raise RuntimeError(f"a name would need a number above {max_suffix}")
+    if max_suffix is not None:
+        done = done.withColumn(out, F.when(F.col("_slot") <= max_suffix, F.col(out)))
     return done.drop("_slot")
 
 
