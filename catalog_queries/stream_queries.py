@@ -23,15 +23,19 @@ def _(spark, sf):
 
 
 def event_stream(spark, sf):
-    return tables.file_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+    """The events in three files, a batch each; keys return in later ones."""
+    path = scratch_path(spark, "events")
+    events = table(spark, sf, "events")
+    events.repartition(3, "event_id").write.parquet(path)
+    return tables.file_stream(spark, path, events.schema)
 
 
-@query("stream_dedup_seen", "SELECT DISTINCT user_id FROM events")
+@query("stream_dedup_seen", "SELECT user_id, 1::BIGINT AS times FROM events GROUP BY user_id")
 def _(spark, sf):
     path = scratch_path(spark, "seen")
-    seen = ingest.first_seen_keys(event_stream(spark, sf), "user_id", "ts", "60 days").select("user_id")
+    seen = ingest.first_seen_keys(event_stream(spark, sf), "user_id", "ts").select("user_id")
     tables.run_available(seen, lambda b, i: tables.put(b, f"{path}/rows", i), f"{path}/progress")
-    return tables.get(spark, f"{path}/rows", "user_id bigint")
+    return tables.get(spark, f"{path}/rows", "user_id bigint").groupBy("user_id").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query("download_log_stream", with_views("downloads dlog", """

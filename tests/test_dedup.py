@@ -149,6 +149,25 @@ def test_stored_cells(spark, tmp_path):
     assert np.allclose(back, centres) and meta["trained"] == 100
 
 
+def test_cells_are_trained_anew_on_drift(spark, tmp_path):
+    v = clustered(100, 4)
+    path = str(tmp_path / "cells")
+    first = frame(spark, enumerate(v[:80]), "id")
+    cells.write(first, cells.train_cells(first, 4), path, "a")
+    same, anew = cells.extend(path, frame(spark, [(i, v[i]) for i in range(80, 90)], "id"), 16, "b")
+    assert (same, anew) == (path, False)
+    fresh, anew = cells.extend(path, frame(spark, [(i, v[i]) for i in range(90, 100)], "id"), 16, "c")
+    stored, _, meta = cells.read(spark, fresh, 16)
+    assert anew and fresh != path and meta["trained"] == 100
+    assert sorted(r["id"] for r in stored.select("id").collect()) == list(range(100))
+
+
+def test_training_rows_do_not_depend_on_partitions(spark):
+    stock = frame(spark, enumerate(clustered(300, 4)), "id")
+    drawn = [{r["id"] for r in cells._drawn(stock.repartition(n), 60, 300).collect()} for n in (1, 7)]
+    assert drawn[0] == drawn[1] and 30 < len(drawn[0]) < 100
+
+
 def random_hashes(seed=9, n=120):
     rng = np.random.default_rng(seed)
     base = rng.integers(-(2**63), 2**63 - 1, size=(30, 4), dtype=np.int64)

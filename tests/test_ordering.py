@@ -75,6 +75,12 @@ def test_unique_names_like_a_loop(spark):
         assert {r["row"]: r["name"] for r in got.collect()} == one_by_one(rows, existing)
 
 
+def test_a_number_too_large_rejects_its_row_alone(spark):
+    df = spark.createDataFrame([(i, "x") for i in range(5)] + [(5, "y")], "row long, base string")
+    got = naming.unique_names(df, "row", "base", "name", max_suffix=4)
+    assert [r["name"] for r in got.orderBy("row").collect()] == ["x", "x_2", "x_3", "x_4", None, "y"]
+
+
 def test_unique_files_like_a_loop(spark):
     rng = random.Random(5)
     pool = ["a.jpg", "a_1.jpg", "a_2.jpg", "b.tar.gz", "b.tar_1.gz", "noext", "a.png"]

@@ -52,13 +52,13 @@ def download_log(results: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return latest_per_key(rows, ["key"], [F.col("seq").desc()]).drop("seq")
 
 
-def first_seen_keys(rows: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """Stream of the first row per key; keys older than ``delay`` leave the state."""
-    return (
-        rows.withColumn(time, F.col(time).cast("timestamp"))
-        .withWatermark(time, delay)
-        .dropDuplicatesWithinWatermark([key])
-    )
+def first_seen_keys(rows: DataFrame, key: str, time: str, delay: str | None = None) -> DataFrame:
+    """Stream of the first row per key. Keys are never forgotten, and the state holds each
+    once, unless ``delay`` is given: then keys older than that leave the state."""
+    timed = rows.withColumn(time, F.col(time).cast("timestamp"))
+    if delay is None:
+        return timed.dropDuplicates([key])
+    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def _names(fields: str) -> list[str]:
