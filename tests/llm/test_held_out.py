@@ -1,7 +1,7 @@
 """Held-out accuracy of the fitted models.
 
-Toxicity is tested at sf0.1: at sf0.01 only 286 texts are learned from and 113 held out, a
-dozen of them toxic in four languages, and the rank area there is only 0.80.
+Toxicity is tested at two sizes: at sf0.01 only 286 texts are learned from and 113 held
+out, 18 of them toxic in four languages.
 """
 
 import pytest
@@ -16,7 +16,7 @@ def rank_area(frame, label):
     return (rank[yes].sum() - yes.sum() * (yes.sum() + 1) / 2) / (yes.sum() * (~yes).sum())
 
 
-@pytest.mark.parametrize(("name", "label", "least", "sf"), [("op1_rule_quality", "quality", 0.95, SF), ("op3_toxicity", "toxic", 0.95, "/root/testdata/sf0.1")])
+@pytest.mark.parametrize(("name", "label", "least", "sf"), [("op1_rule_quality", "quality", 0.95, SF), ("op3_toxicity", "toxic", 0.85, SF), ("op3_toxicity", "toxic", 0.95, "/root/testdata/sf0.1")])
 def test_held_out(spark, name, label, least, sf):
     out = entry.queries()[name](spark, sf).where("held_out").toPandas()
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()

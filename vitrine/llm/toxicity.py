@@ -24,6 +24,8 @@ from .common import fold, labelled, slices, texts
 TRAIN_ROWS = 20_000
 #: The words with the strongest evidence for either label; their number is the model's size.
 FEATURES = 2_048
+#: Words with less evidence (deviations of their log odds ratio; this is 1 %, two-sided) are no features.
+LEAST_EVIDENCE = 2.576
 MIN_TEXTS = 4
 SWAP_PENALTY = 1.0
 RIDGE = 2e-5
@@ -76,7 +78,7 @@ def _train_rows(docs: DataFrame, labels: DataFrame, key: str, parts: int, left_o
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 3, left_out: int = 1, train_rows: int = TRAIN_ROWS,
-        features: int = FEATURES, swap_penalty: float = SWAP_PENALTY, ridge: float = RIDGE) -> Model:
+        features: int = FEATURES, swap_penalty: float = SWAP_PENALTY, ridge: float = RIDGE, least_evidence: float = LEAST_EVIDENCE) -> Model:
     """Learn from the labelled texts whose fold (crc32 of the key, modulo ``parts``) is not ``left_out``.
 
     Without a labelled text every score is 0.5; with one label only, that label's rate.
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 3,
         return Model({}, float(np.log((yes + 0.5) / (no + 0.5))))
     odds = lambda hit, all_: F.log((F.col(hit) + 0.5) / (all_ - F.col(hit) + 0.5))
     strength = F.abs(odds("yes", yes) - odds("no", no)) / F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
-    chosen = sums.where((F.col("word") != "") & (F.col("yes") + F.col("no") >= MIN_TEXTS)).orderBy(strength.desc(), "word").limit(features)
+    chosen = sums.where((F.col("word") != "") & (F.col("yes") + F.col("no") >= MIN_TEXTS) & (strength >= least_evidence)).orderBy(strength.desc(), "word").limit(features)
     place = {w: i for i, w in enumerate(sorted({r["word"] for r in chosen.select("word").collect()} | TERMS))}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
