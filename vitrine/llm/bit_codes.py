@@ -24,8 +24,10 @@ BITS_PER_DIM = 2
 QUERY_BITS = 6
 #: Deviations of the estimate that the bound allows for.
 BOUND = 4.0
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4_096
 VECTOR_BLOCK = 65_536
+#: A table that fills fewer blocks than the cluster has partitions is cut finer, down to this.
+LEAST_BLOCK = 4_096
 
 
 def rotation(dim: int, bits: int, seed: int = 7) -> np.ndarray:
@@ -80,8 +82,10 @@ def search(index: DataFrame, queries: DataFrame, centre: np.ndarray, bits: int,
     """
     turn = rotation(len(centre), bits)
     index, queries = index.dropDuplicates([key]), queries.dropDuplicates([key])
-    blocks = lambda df, size: max(1, -(-df.count() // size))
-    nq, nv = blocks(queries, query_block), blocks(index, vector_block)
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, asked = index.count(), queries.count()
+    nq = max(1, -(-asked // query_block))
+    nv = max(1, -(-rows // vector_block), min(parts // nq, -(-rows // min(LEAST_BLOCK, vector_block))))
     place = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select(F.col(key).alias("q"), F.col("v").alias("qv"), place(nq).alias("_q"), every(nv).alias("_v"))
