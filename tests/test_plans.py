@@ -9,12 +9,12 @@ from vitrine.streaming import ingest, register, tables
 
 
 def test_crawl(spark):
-    log = spark.createDataFrame([("u:789012", "done", "Second"), ("u:123456", "partial", "kept")], "key string, status string, folder string")
+    log = spark.createDataFrame([("u:70035", "done", "Second"), ("u:70021", "partial", "kept")], "key string, status string, folder string")
     out = crawl.albums_to_fetch(pages(spark, LIST, GALLERY), BASE, "u", log)
     got = {r["album_id"]: r["picked"] for r in out.collect()}
-    assert got == {"123456": True, "789012": False, "345678": True}
+    assert got == {"70021": True, "70035": False, "70112": True}
     text = '<div class="showalbum__children"><img data-src="https://h/{}/small.png"></div>'
-    detail = spark.createDataFrame([("123456", text.format(1) + text.format(2)), ("345678", text.format(3))], "album_id string, html string")
+    detail = spark.createDataFrame([("70021", text.format(1) + text.format(2)), ("70112", text.format(3))], "album_id string, html string")
     there = spark.createDataFrame([("kept",), ("Third &last",)], "folder string")
     plan = {(r["folder"], r["file"]): r["image_url"] for r in crawl.download_plan(out, detail, there).collect()}
     assert plan == {
@@ -43,6 +43,34 @@ def test_products(spark):
     assert [(r["folder"], r["id"]) for r in added.collect()] == [("f2", 3)] and conflicts.count() == 0
 
 
+def test_products_with_torn_vectors(spark):
+    stock = spark.createDataFrame([(1, "old", "s", "f0", [1.0, 0.0]), (2, "torn", "s", "f9", [1.0, 0.0, 0.0])], "id long, name string, store string, folder string, embedding array<double>")
+    folders = spark.createDataFrame([(0, "f1"), (1, "f2"), (2, "f3"), (3, "f4")], "row long, folder string")
+    v = [("f1", [1.0, 0.0]), ("f1", [9.0]), ("f2", [1.0, 0.0, 0.0]), ("f3", None), ("f4", [0.0, 1.0]), ("f4", [0.1, 0.9])]
+    out = products.scan(folders, spark.createDataFrame(v, "folder string, v array<double>"), stock)
+    got = {r["folder"]: (r["status"], r["error"]) for r in out.collect()}
+    assert got == {"f1": ("duplicate", None), "f2": ("new", "no usable image"), "f3": ("new", "no usable image"), "f4": ("new", None)}
+    assert {(r["row"], r["match_id"], r["name"], r["folder"]) for r in products.matched(out, stock).collect()} == {(0, 1, "old", "f0"), (3, 1, "old", "f0")}
+
+
+def test_a_split_ends_in_moves_and_history(spark):
+    red, blue = [1.0, 0.0], [0.0, 1.0]
+    rows = [(f"d/{a}", i, f"d/{a}/{i}.jpg", red if i < 2 else blue) for a in "ab" for i in range(3)]
+    images = spark.createDataFrame(rows, "folder string, idx long, path string, v array<double>")
+    past = spark.createDataFrame([(4, "d/old", 1, 1), (7, "d/a", 1, 9)], "history_id long, folder string, group_count long, image_count int")
+    past = past.withColumn("split_time", F.lit("2024-01-01").cast("timestamp")).withColumn("has_features", F.lit(True))
+    old_groups = spark.createDataFrame([(4, 0, "g"), (7, 0, "h")], "history_id long, group_id long, group_name string")
+    old_images = spark.createDataFrame([(7, 0, "p")], "history_id long, group_id long, file_path string")
+    folders = spark.createDataFrame([(0, "d/a"), (1, "d/b")], "folder_row long, folder string")
+    members = variants.split(images, past, force=True)
+    plan, (top, named, files) = variants.finish(members, folders, F.lit("2024-05-05").cast("timestamp"), past, old_groups, old_images)
+    assert {r["dest"] for r in plan.collect()} == {f"d/{a} 配色_{g}/{i}.jpg" for a in "ab" for g, i in ((1, 0), (1, 1), (2, 2))}
+    got = {r["folder"]: (r["history_id"], r["group_count"], r["image_count"]) for r in top.collect()}
+    assert got == {"d/old": (4, 1, 1), "d/a": (8, 2, 3), "d/a 配色_1": (9, 1, 2), "d/a 配色_2": (10, 1, 1), "d/b": (11, 2, 3), "d/b 配色_1": (12, 1, 2), "d/b 配色_2": (13, 1, 1)}
+    assert {(r["history_id"], r["group_id"]) for r in named.collect()} == {(4, 0), (8, 0), (8, 1), (11, 0), (11, 1)}
+    assert {(r["history_id"], r["file_path"]) for r in files.collect()} == {(h, f"d/{a}/{i}.jpg") for h, a in ((8, "a"), (11, "b")) for i in range(3)}
+
+
 def test_registry_append_refuses_known_and_repeated_folders(spark):
     stock = spark.createDataFrame([(5, "a")], "id long, folder string")
     batch = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b"), (3, "c")], "row long, folder string")

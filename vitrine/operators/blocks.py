@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .. import settings as S
 
 SIM_DECIMALS = 9
+#: Block products are dealt over at most so many tasks per core or shuffle partition.
+TASKS_PER_CORE = 8
 
 
 def matrix(column: pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
@@ -99,8 +101,11 @@ def block_pairs(
     b = b.withColumn("_rb", cut(right_id, "_nr")).withColumn("_lb", every("_nl")).drop("_nl", "_nr")
     keys = ["_cell", "_lb", "_rb"]
     if groups is not None and groups > 1:
-        # One partition per block pair: the work is in the product, not in the bytes.
-        a, b = a.repartition(groups, *keys), b.repartition(groups, *keys)
+        # The work is in the products, not in the bytes: a task per block pair while there
+        # are few of them, then many pairs per task, as the cluster asks for.
+        spark = left.sparkSession
+        most = TASKS_PER_CORE * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        a, b = a.repartition(min(groups, most), *keys), b.repartition(min(groups, most), *keys)
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         return kernel(x, y)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..operators import cluster, dedup, groups, history, listing, zero_shot
+from ..session import cut
 
 
 def split(images: DataFrame, split_history: DataFrame, threshold: float = S.CLUSTER_DEFAULT, force: bool = False, labels: dict | None = None) -> DataFrame:
@@ -26,6 +27,37 @@ def split(images: DataFrame, split_history: DataFrame, threshold: float = S.CLUS
     return head.join(named, "_g").withColumn("group_name", F.col("name")).drop("_g", "name", "v")
 
 
+def finish(
+    members: DataFrame, folders: DataFrame, split_time: Column,
+    past: DataFrame, past_groups: DataFrame, past_images: DataFrame, existing: DataFrame | None = None,
+) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """The move plan of split albums, and the three history tables with them recorded.
+
+    ``members`` comes from ``split`` (after edits, if any), ``folders`` is (folder_row,
+    folder), ``existing`` the sub-folders already there (parent, target). An album is
+    recorded with its groups and the old paths of its images, each new sub-folder as a
+    split of one group.
+    """
+    plan = cut(groups.move_plan(members.join(folders.select("folder_row", "folder"), "folder"), existing))
+    parts = cut(
+        plan.groupBy("folder_row", "folder", "group_id", "group_name", "parent", "target")
+        .agg(F.count(F.lit(1)).cast("int").alias("image_count"))
+    )
+    # Rows of one album are consecutive: the album first, then its groups.
+    stride = (parts.agg(F.max("group_id")).first()[0] or 0) + 2
+    row = F.col("folder_row") * stride
+    whole = parts.groupBy("folder_row", "folder").agg(F.count(F.lit(1)).alias("group_count"), F.sum("image_count").cast("int").alias("image_count"))
+    whole = whole.select(row.alias("row"), "folder", "group_count", "image_count")
+    subs = parts.select(
+        (row + F.col("group_id") + 1).alias("row"), F.concat_ws("/", "parent", "target").alias("folder"),
+        F.lit(1).cast("bigint").alias("group_count"), "image_count",
+    )
+    splits = whole.unionByName(subs).withColumn("split_time", split_time).withColumn("has_features", F.lit(False))
+    named = parts.select(row.alias("row"), "group_id", "group_name")
+    images = plan.select(row.alias("row"), "group_id", F.col("path").alias("file_path"))
+    return plan, history.write(past, past_groups, past_images, splits, named, images, "row")
+
+
 def listings(folders: DataFrame, files: DataFrame, vectors: DataFrame, labels: dict, lo: float, hi: float | None = None) -> DataFrame:
     """Listing rows: images, category, title and price per folder (row, folder).
 

@@ -41,7 +41,6 @@ CLUSTER_DEFAULT = 0.35
 CLUSTER_MIN = 0.10
 CLUSTER_MAX = 0.80
 LINKAGE_MAX = 200
-SPLIT_ROUNDS = 20
 GROUP_NAME_STEM = "配色"
 
 FEATURE_TTL_DAYS = 90
