@@ -4,7 +4,8 @@ A page becomes a list of lines, one per block element, with their text lengths.
 forms, adverts and other parts that markup names as such are stripped and leave an empty
 line; link text counts nothing. Lengths are summed over sliding windows of lines: the sum
 surges where the text starts and dives to nothing where it ends, and all lines between a
-surge and its dive are kept, short ones too. On pages with an ``article`` (or else a
+surge and its dive are kept, short ones too. A surge is 86 characters, or half the largest
+window of the page where that is less, so the strongest text of any page is kept. On pages with an ``article`` (or else a
 ``main``) element only its lines have length, each at least that of a surge.
 """
 
@@ -22,6 +23,8 @@ from .common import slices
 
 WINDOW_LINES = 3
 SURGE_CHARS = 86
+#: On a page whose largest window holds less than twice the surge, this share of that window is one.
+SURGE_SHARE = 0.5
 
 # Element names of HTML and the usual names of page parts.
 RAW = "script|style|noscript|template|iframe|object|svg|canvas|title|textarea"
@@ -160,9 +163,10 @@ def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -
     for i in range(n):
         sums.append(total)
         total += padded[i + window] - padded[i]
+    least = min(surge, SURGE_SHARE * max(sums, default=0))
     kept, i = [], 0
     while i < n:
-        if sums[i] < surge or not weights[i]:
+        if sums[i] < least or not weights[i]:
             i += 1
             continue
         while i < n and sums[i]:
