@@ -16,3 +16,24 @@ MENU = "<ul>" + "<li><a href=x>Link text of a menu</a></li>" * 9 + "</ul>"
 ])
 def test_strongest_block_of_short_pages_is_kept(page, text):
     assert main_text(page) == text
+
+
+STORY = [f"Paragraph {i} of the story, which stands in plain blocks and goes on for a while, as stories do." for i in range(6)]
+PLAIN = "<div>" + "".join(f"<p>{p}</p>" for p in STORY) + "</div>"
+TEASERS = "".join(f"<article><h3><a href=x>Other story {i}</a></h3><p>In short.</p></article>" for i in range(3))
+
+
+@pytest.mark.parametrize("page", [TEASERS + PLAIN, PLAIN + TEASERS, TEASERS + PLAIN + TEASERS, f"<main>{PLAIN}{TEASERS}</main>", f"<main>{TEASERS}</main>{PLAIN}"])
+def test_story_beside_article_teasers(page):
+    assert main_text(page) == "\n\n".join(STORY)
+
+
+def test_windows_decide_inside_and_outside_of_an_article():
+    links = "".join(f"<p><a href=x>More of this {i}</a></p>" for i in range(5))
+    page = f"<p>Skip to the text</p><article><p>{STORY[0]}</p><p>Short.</p>{links}</article><p>Share</p>"
+    assert main_text(page) == f"{STORY[0]}\n\nShort."
+    assert main_text(f"<article><p>{STORY[0]}</p></article>{links}<div>{STORY[1]}</div>") == f"{STORY[0]}\n\n{STORY[1]}"
+
+
+def test_short_first_lines_of_an_article_are_kept():
+    assert main_text(f"<article><h1>Rech.</h1>{'<p>Les Rech.</p>' * 9}<p>{STORY[0]}</p></article>") == "\n\n".join(["Rech.", *["Les Rech."] * 9, STORY[0]])

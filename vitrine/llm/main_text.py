@@ -5,8 +5,10 @@ forms, adverts and other parts that markup names as such are stripped and leave
 line; link text counts nothing. Lengths are summed over sliding windows of lines: the sum
 surges where the text starts and dives to nothing where it ends, and all lines between a
 surge and its dive are kept, short ones too. A surge is 86 characters, or half the largest
-window of the page where that is less, so the strongest text of any page is kept. On pages with an ``article`` (or else a
-``main``) element only its lines have length, each at least that of a surge.
+window of the page where that is less, so the strongest text of any page is kept. Windows do
+not reach across the edge of an ``article`` or ``main``; where these hold at least half of
+the page's text outside links, their lines weigh three times as much, and short lines
+between the last dive and a surge are kept like those after it.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ WINDOW_LINES = 3
 SURGE_CHARS = 86
 #: On a page whose largest window holds less than twice the surge, this share of that window is one.
 SURGE_SHARE = 0.5
+MARKED_WEIGHT = 3
 
 # Element names of HTML and the usual names of page parts.
 RAW = "script|style|noscript|template|iframe|object|svg|canvas|title|textarea"
@@ -154,25 +157,46 @@ def lines(page: str) -> list[tuple[str, int, str]]:
 
 def main_text(page: str, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -> str:
     found = lines(page)
-    inside = {kind for _, _, kind in found}
-    body = "article" if "article" in inside else "main" if "main" in inside else ""
-    weights = [max(chars, surge) if body and kind == body and text else 0 if body else chars for text, chars, kind in found]
-    n, sums, total = len(weights), [], 0
-    padded = weights + [0] * window
-    total = sum(padded[:window])
-    for i in range(n):
-        sums.append(total)
-        total += padded[i + window] - padded[i]
+    total = sum(chars for _, chars, _ in found)
+    # Marks count only where they hold the better part: an article may also be a teaser beside the story.
+    heavy: tuple[str, ...] = ()
+    for marked in (("article",), ("article", "main")):
+        held = sum(chars for _, chars, kind in found if kind in marked)
+        if held and 2 * held >= total:
+            heavy = marked
+            break
+    weights = [chars * MARKED_WEIGHT if kind in heavy else chars for _, chars, kind in found]
+    sums: list[int] = []
+    ends: list[int] = []
+    start = 0
+    while start < len(found):
+        end = start
+        # An empty line is a stripped part and belongs to what is before it, or else to what follows.
+        kind = found[start][2] if start else next((k for text, _, k in found if text), "")
+        while end < len(found) and (not found[end][0] or found[end][2] == kind):
+            end += 1
+        sums += [sum(weights[i : min(i + window, end)]) for i in range(start, end)]
+        ends += [end] * (end - start)
+        start = end
     least = min(surge, SURGE_SHARE * max(sums, default=0))
     kept, i = [], 0
-    while i < n:
+    first = 0  # of the lines since the last dive or edge
+    while i < len(found):
+        if not sums[i] or i and ends[i] != ends[i - 1]:
+            first = i
         if sums[i] < least or not weights[i]:
             i += 1
             continue
-        while i < n and sums[i]:
-            if weights[i] or (not body and found[i][0]):
+        end = ends[i]
+        if found[i][2] in heavy:
+            while not weights[first]:
+                first += 1
+            i = first
+        while i < end and sums[i]:
+            if found[i][0]:
                 kept.append(found[i][0])
             i += 1
+        first = i
     return "\n\n".join(kept)
 
 
