@@ -37,3 +37,24 @@ def test_windows_decide_inside_and_outside_of_an_article():
 
 def test_short_first_lines_of_an_article_are_kept():
     assert main_text(f"<article><h1>Rech.</h1>{'<p>Les Rech.</p>' * 9}<p>{STORY[0]}</p></article>") == "\n\n".join(["Rech.", *["Les Rech."] * 9, STORY[0]])
+
+
+@pytest.mark.parametrize("opening", [
+    '<div style="overflow:hidden">', '<div title="the hidden truth">', '<div data-id="ad" data-class="menu">', "<div title='class=\"ad\"'>", "<div data-x=/a/hidden/id=ad>",
+    '<div class="content has-sidebar">', '<div class="post no-comments with-nav">', '<div class="elementor-widget">', '<div class="widget"><section>', '<div id="left-sidebar-wrap">',
+])
+def test_containers_that_only_look_like_parts_are_kept(opening):
+    story = "".join(f"<p>{p}</p>" for p in STORY)
+    assert main_text(f"{opening}{story}</div>") == "\n\n".join(STORY)
+
+
+def test_blocks_of_one_doubted_name_are_kept_and_real_parts_are_not():
+    widgets = "".join(f'<div class="elementor-widget"><p>{p}</p><div class="share">Share this text with friends</div></div>' for p in STORY)
+    assert main_text(widgets) == "\n\n".join(STORY)
+    parts = ['<div class="left-sidebar">', '<div id=comments>', "<div class='box ad'>", "<div hidden>", '<p aria-hidden="true">', "<div role=banner>", '<div title="a > b" class="cookie-box">', '<span class="related_posts">']
+    for part in parts:
+        end = "</" + part[1:].split()[0].strip(">") + ">"
+        assert main_text(f"{PLAIN}{part}{STORY[0]}{end}<p>End.</p>") == "\n\n".join([*STORY, "End."]), part
+        assert main_text(f"{part}{STORY[0]}{end}{PLAIN}") == "\n\n".join(STORY), part
+    assert main_text('<div class="ad">Buy this, it is longer.</div><article><p>Tiny.</p></article>') == "Tiny."
+    assert main_text('<div class="alert">Closed today.</div>') == "Closed today."

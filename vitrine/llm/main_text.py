@@ -51,42 +51,66 @@ MARKUP = re.compile(
     r"|<(/?)([a-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)"
 )
-ATTRIBUTE = re.compile(r"(?is)\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+ATTRIBUTE = re.compile(r"(?s)([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*))?")
+#: Words that say what a container has beside it, not what it is.
+NOT_ITSELF = frozenset("has with no not without".split())
+#: A part name is not believed on a page where what it names holds more than this share of the text
+#: outside links: for a whole class or id, and for its first or last word only.
+BELIEVED = {True: 0.75, False: 0.5}
 
 
-def _is_part(tag: str, attributes: str) -> bool:
-    if tag in STRIPPED:
-        return True
-    if tag in WHOLE or not attributes:
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in PART_ROLES):
-            return True
-        if name in ("class", "id") and not PART_NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+def _attributes(source: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(source):
+        out.setdefault(name.lower(), value.strip(value[:1] if value[:1] in "\"'" else None).lower())
+    return out
+
+
+def _part_name(attributes: dict[str, str]) -> tuple[str, bool] | None:
+    """The part that a class or id names, and whether with all of the word."""
+    compound = None
+    for token in (*attributes.get("class", "").split(), attributes.get("id", "").strip()):
+        if token in PART_NAMES:
+            return token, True
+        words = [w for w in re.split(r"[\s_-]+", token) if w]
+        if words and NOT_ITSELF.isdisjoint(words):
+            compound = compound or next(((w, False) for w in (words[-1], words[0]) if w in PART_NAMES), None)
+    return compound
+
+
+def _is_part(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether the element or its attributes say so outright."""
+    return tag in STRIPPED or tag not in WHOLE and (
+        "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in PART_ROLES
+    )
 
 
 def lines(page: str) -> list[tuple[str, int, str]]:
     """(text, characters outside links, container) per block; a stripped part is ("", 0, "")."""
-    out: list[tuple[str, int, str]] = []
+    out: list[tuple[str | None, int, str, tuple]] = []
     stack: list[str] = []
     texts: list[str] = []
     outside: list[str] = []
     skip = links = 0  # how deep the stack was when a part began; open links
     kinds = {"article": 0, "main": 0}
+    parts: list[tuple[str, bool]] = []  # the open containers that a class or id names as a part
+    depths: list[int] = []
 
     def flush() -> None:
         text = " ".join("".join(texts).split())
         if text:
             inside = "article" if kinds["article"] else "main" if kinds["main"] else ""
-            out.append((text, len(" ".join("".join(outside).split())), inside))
+            out.append((text, len(" ".join("".join(outside).split())), inside, tuple(parts)))
         texts.clear()
         outside.clear()
 
     def pop_to(depth: int) -> None:
         nonlocal skip, links
+        if depths and depth < depths[-1]:
+            flush()
+            while depths and depth < depths[-1]:
+                depths.pop()
+                parts.pop()
         for tag in stack[depth:]:
             links -= tag == "a"
             if tag in kinds:
@@ -146,12 +170,40 @@ def lines(page: str) -> list[tuple[str, int, str]]:
         links += tag == "a"
         if tag in kinds:
             kinds[tag] += 1
-        if not skip and _is_part(tag, attributes):
+        if skip:
+            continue
+        named = _attributes(attributes) if attributes else {}
+        if _is_part(tag, named):
             flush()
-            out.append(("", 0, ""))
+            out.append(("", 0, "", tuple(parts)))
             skip = len(stack)
+        elif named and tag not in WHOLE and (part := _part_name(named)) and part not in parts:
+            flush()
+            parts.append(part)
+            depths.append(len(stack))
+            out.append((None, 0, "", tuple(parts)))
     characters(page[place:])
     flush()
+    return _without_parts(out)
+
+
+def _without_parts(found: list[tuple[str | None, int, str, tuple]]) -> list[tuple[str, int, str]]:
+    """The lines outside the named parts, each of which began with None and leaves an empty line.
+
+    What holds most of the page's text is no part, whatever its class or id; less than a surge
+    of text is, unless there is no other.
+    """
+    held: dict[tuple[str, bool], int] = {}
+    for _, chars, _, parts in found:
+        for part in parts:
+            held[part] = held.get(part, 0) + chars
+    total = sum(chars for _, chars, _, _ in found)
+    doubted = {part for part, chars in held.items() if chars > BELIEVED[part[1]] * total and (chars >= SURGE_CHARS or chars == total)}
+    out = []
+    for text, chars, inside, parts in found:
+        around, own = (parts, None) if text is not None else (parts[:-1], parts[-1])
+        if doubted.issuperset(around) and own not in doubted:
+            out.append((text or "", chars, inside))
     return out
 
 
