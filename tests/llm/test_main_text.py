@@ -58,3 +58,14 @@ def test_blocks_of_one_doubted_name_are_kept_and_real_parts_are_not():
         assert main_text(f"{part}{STORY[0]}{end}{PLAIN}") == "\n\n".join(STORY), part
     assert main_text('<div class="ad">Buy this, it is longer.</div><article><p>Tiny.</p></article>') == "Tiny."
     assert main_text('<div class="alert">Closed today.</div>') == "Closed today."
+
+
+@pytest.mark.parametrize(("between", "text"), [
+    ('<svg class="i"/>', "A\n\nrest"), ("<svg-icon></svg-icon>", "A\n\nrest"), ("<title-bar>Bar</title-bar>", "A\n\nBar\n\nrest"), ("<object-view/>", "A\n\nrest"),
+    ('<canvas id="c">', "A\n\nrest"), ("<object data=x>", "A\n\nrest"), ("<svg><path d='M0'/><svg><text>no</text></svg>no</svg>", "A\n\nrest"),
+    ("<svg><p>B</p><svg>no</svg>", "A\n\nB\n\nrest"), ('<svg data-x="a/>b"><text>no</text></SVG >', "A\n\nrest"), ("<script>var a='<svg>';</script>", "A\n\nrest"),
+    ("<object data=a><p>no</p><object data=b>no</object></object>", "A\n\nrest"), ("</svg>", "A\n\nrest"), ("<script>no", "A"),
+])
+def test_embedded_elements_end_where_they_end(between, text):
+    assert main_text(f"<p>A</p>{between}<p>rest</p>") == text
+    assert main_text("<p>A <svg><text>no</text></svg>B</p>") == "A B"

@@ -30,7 +30,8 @@ SURGE_SHARE = 0.5
 MARKED_WEIGHT = 3
 
 # Element names of HTML and the usual names of page parts.
-RAW = "script|style|noscript|template|iframe|object|svg|canvas|title|textarea"
+RAW = "script|style|noscript|template|iframe|title|textarea"
+EMBEDDED = frozenset("object svg canvas".split())
 STRIPPED = frozenset("head nav header footer aside form menu dialog select button fieldset label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -47,10 +48,11 @@ PART_ROLES = frozenset("navigation banner contentinfo complementary search form
 WHOLE = frozenset(("html", "body", "main"))
 
 MARKUP = re.compile(
-    rf"(?is)<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"(?is)<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)"
 )
+HAS_EMBEDDED = re.compile(r"(?i)<(?:object|svg|canvas)[\s/>]")
 ATTRIBUTE = re.compile(r"(?s)([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*))?")
 #: Words that say what a container has beside it, not what it is.
 NOT_ITSELF = frozenset("has with no not without".split())
@@ -59,6 +61,22 @@ NOT_ITSELF = frozenset("has with no not without".split())
 BELIEVED = {True: 0.75, False: 0.5}
 
 
+def _embedded_ends(page: str) -> dict[int, int]:
+    """Where the svg, object and canvas elements with an end tag begin and end; one without has no content."""
+    opened: dict[str, list[int]] = {tag: [] for tag in EMBEDDED}
+    out: dict[int, int] = {}
+    for m in MARKUP.finditer(page) if HAS_EMBEDDED.search(page) else ():
+        tag = (m[3] or m[6] or "").lower()
+        if tag not in EMBEDDED:
+            continue
+        if m[2] or m[5]:
+            if opened[tag]:
+                out[opened[tag].pop()] = m.end()
+        elif not (m[4] or m[7] or "").rstrip().endswith("/"):
+            opened[tag].append(m.start())
+    return out
+
+
 def _attributes(source: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(source):
@@ -135,9 +153,12 @@ def lines(page: str) -> list[tuple[str, int, str]]:
                 outside.append(text)
 
     place = 0
+    ends = _embedded_ends(page)
     for m in MARKUP.finditer(page):
+        if m.start() < place:
+            continue  # inside an embedded element
         characters(page[place : m.start()])
-        place = m.end()
+        place = ends.get(m.start(), m.end())
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             if m[1] and m[1].lower() not in ("title", "script", "style"):
@@ -145,6 +166,9 @@ def lines(page: str) -> list[tuple[str, int, str]]:
             continue
         if m[6] and not m[0].endswith(">"):
             break  # a tag that the end of the page cut off
+        if tag in EMBEDDED:
+            texts.append(" ")
+            continue
         block = tag not in INLINE
         if block and not skip:
             flush()
