@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,17 @@ def slices(batches: Iterator[pd.DataFrame], column: str, most_bytes: int = 8_000
             yield part
 
 
+def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The Arrow batches again, cut so that the texts of one piece stay near ``most_bytes``. Keys keep their type, nulls or not."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        piece = pc.binary_length(batch[column]).to_numpy(zero_copy_only=False).astype(np.int64).cumsum() // most_bytes
+        starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        for start, end in zip(starts, [*starts[1:], len(batch)], strict=True):
+            yield batch.slice(start, end - start)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix (the finaliser of SplitMix64)."""
     x = x.astype(np.uint64, copy=True)

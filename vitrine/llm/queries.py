@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bit_codes, conversation_repair, decontaminate, interpolated_lm, main_text, near_duplicates, periodic_runs, pii, rule_quality, sentencepiece_codec, toxicity, warc
+from . import bit_codes, conversation_repair, decontaminate, interpolated_lm, main_text, near_duplicates, periodic_runs, pii, rule_quality, secret_scan, sentencepiece_codec, toxicity, warc
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     original = table(spark, sf_dir, "conversations")
     turns = conversation_repair.damaged(original)
     return conversation_repair.report(turns, conversation_repair.plan(turns, original))
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
