@@ -30,13 +30,14 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.binding import let
-from .common import SPACE, slices, texts
+from .common import SPACE, arrow_slices, texts
 
 LEAST_WORDS = 6
 LEAST_PERIODS = 4
@@ -149,10 +150,8 @@ def best(found: list[tuple[int, int, int]]) -> tuple[int, int, int]:
     return min((r for r in found if 1000 * r[1] // r[2] == top), key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]))
 
 
-def _batch(values: pd.Series) -> tuple[list, list, list[str]]:
+def _batch(values: list[str]) -> tuple[list, list, list[str]]:
     """Runs, the best run, and the text without its repeats, of each text."""
-    import pyarrow as pa
-
     tokens: list[bytes] = []
     ends = np.zeros(len(values) + 1, dtype=np.int64)
     for i, text in enumerate(values):
@@ -186,13 +185,15 @@ def find(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     src = texts(docs, key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches, "text", 2_000_000):
-            found, top, collapsed = _batch(part["text"])
-            yield pd.DataFrame({key: part[key].to_numpy(), "runs": found, "best": top, "collapsed": collapsed})
-
     schema = T.StructType([T.StructField(key, src.schema[key].dataType), T.StructField("runs", T.ArrayType(RUN)), T.StructField("best", RUN), T.StructField("collapsed", T.StringType())])
-    return src.mapInPandas(run, schema)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrow_slices(batches, "text"):
+            columns = _batch(part["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([part[key].cast(arrow.field(0).type), *(pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
+
+    return src.mapInArrow(run, schema)
 
 
 def repeated(docs: DataFrame, key: str = "doc_id") -> DataFrame:
