@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text_queries", "state_queries", "page_queries", "vector_queries", "dedup_queries", "image_queries", "split_queries", "stream_queries")
+MODULES = ("text_queries", "state_queries", "page_queries", "vector_queries", "dedup_queries", "image_queries", "split_queries", "stream_queries", "time_queries")
 
 
 def load():

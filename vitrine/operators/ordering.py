@@ -34,12 +34,11 @@ def row_chunk(column: str, rows: int = S.CHUNK_ROWS) -> Column:
     return F.floor(F.col(column) / rows)
 
 
-def sampled_chunk(df: DataFrame, column: str, parts: int = 64) -> Column:
-    """Order-preserving chunk of any sortable column.
+def split_points(df: DataFrame, column: str, parts: int = 64) -> list:
+    """At most ``parts`` values of a sortable column, in order, that cut it evenly.
 
-    Split points are the values that win a hash draw inside each of ``parts`` hash
-    buckets: an even draw over distinct values, the same on every run, and ``parts``
-    values in all.
+    They are the values that win a hash draw inside each of ``parts`` hash buckets: an even
+    draw over distinct values, the same on every run.
     """
     bucket = F.pmod(F.xxhash64(F.lit(11), F.col(column)), F.lit(parts))
     drawn = (
@@ -49,12 +48,34 @@ def sampled_chunk(df: DataFrame, column: str, parts: int = 64) -> Column:
         .select("v")
         .collect()
     )
-    bounds = sorted({r["v"] for r in drawn})
+    return sorted({r["v"] for r in drawn})
+
+
+def sampled_chunk(df: DataFrame, column: str, parts: int = 64) -> Column:
+    """Order-preserving chunk of any sortable column, by its split points."""
+    bounds = split_points(df, column, parts)
     if not bounds:
         return F.lit(0)
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(column)))
 
 
+def place(column: Column, bounds: Sequence) -> Column:
+    """How many of the sorted ``bounds`` are not above a value, by halving; 0 for a null."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(column >= F.lit(bounds[middle]), between(middle + 1, high)).otherwise(between(low, middle))
+
+    return between(0, len(bounds))
+
+
+def parts_for(rows: int, chunk_rows: int, most: int = 1_024) -> int:
+    """How many chunks a table of so many rows is cut into."""
+    return max(1, min(most, -(-rows // chunk_rows)))
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
