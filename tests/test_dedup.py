@@ -242,3 +242,15 @@ def test_torn_and_null_vectors_are_refused():
     for rows in ([[1.0] * 64, [2.0] * 60], [[1.0] * 4, None, [2.0] * 2]):
         with pytest.raises(ValueError):
             matrix(pa.chunked_array([rows], type=pa.list_(pa.float64())))
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+def test_distances_inside_albums_of_any_size(spark, block):
+    rng = np.random.default_rng(11)
+    sizes = {"big": 450, "limit": 200, "small": 7, "one": 1, None: 3}
+    rows = [(a, i, [float(x) for x in v / np.linalg.norm(v)]) for a, n in sizes.items() for i, v in enumerate(rng.standard_normal((n, 5)))]
+    df = spark.createDataFrame(rows, "album string, idx long, v array<double>")
+    out = similarity.within_groups(df, ["album"], block_rows=block).collect()
+    assert len(out) == len({(r.album, r.i, r.j) for r in out}) == sum(n * (n - 1) // 2 for n in sizes.values())
+    vectors = {(a, i): np.array(v) for a, i, v in rows}
+    assert all(r.i < r.j and abs(r.distance - (1 - vectors[r.album, r.i] @ vectors[r.album, r.j])) < 1e-9 for r in out)

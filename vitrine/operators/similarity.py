@@ -69,26 +69,40 @@ def with_match(
 
 
 def within_groups(
-    images: DataFrame, group: list[str], idx: str = "idx", v: str = "v", limit: int = S.LINKAGE_MAX
+    images: DataFrame, group: list[str], idx: str = "idx", v: str = "v", limit: int = S.LINKAGE_MAX,
+    block_rows: int = S.BLOCK_ROWS,
 ) -> DataFrame:
-    """Cosine distance of every pair inside groups of at most ``limit`` images.
+    """Cosine distance of every pair (i < j) inside groups of any size: (group, i, j, distance).
 
-    Bigger groups are refused: they are first cut into leaves (see ``cluster.leaves``), so
-    no task ever holds more than a ``limit`` × ``limit`` matrix.
+    Groups of at most ``limit`` images are one task's matrix. Bigger ones are cut into blocks
+    that meet pair by pair, so no task holds more than two blocks, whatever a group holds.
     """
     kinds = dict(images.dtypes)
     schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), "i long", "j long", "distance double"])
+    sized = images.select(*group, idx, v)
 
-    def kernel(t: pa.Table) -> pa.Table:
-        if t.num_rows > limit:
-            raise ValueError(f"a group holds {t.num_rows} images, above {limit}")
-        t = t.sort_by(idx)
-        ids = ints(t[idx])
-        m = matrix(t[v])
-        dist = np.clip(1.0 - m @ m.T, 0.0, 2.0)
-        i, j = np.triu_indices(len(ids), 1)
-        out = {g: pa.array([t[g][0].as_py()] * len(i), t[g].type) for g in group}
-        return pa.table({**out, "i": ids[i], "j": ids[j], "distance": dist[i, j]})
+    def rows(keys: dict, left, right, dist, i, j) -> pa.Table:
+        out = {g: pa.array([value] * len(i), kind) for g, (value, kind) in keys.items()}
+        return pa.table({**out, "i": left[i], "j": right[j], "distance": dist[i, j]})
 
-    sized = images.select(*group, idx, v)
-    return sized.groupBy(*group).applyInArrow(kernel, schema)
+    def whole(t: pa.Table) -> pa.Table:
+        t = t.sort_by(idx)
+        ids, m = ints(t[idx]), matrix(t[v])
+        keys = {g: (t[g][0].as_py(), t[g].type) for g in group}
+        return rows(keys, ids, ids, np.clip(1.0 - m @ m.T, 0.0, 2.0), *np.triu_indices(len(ids), 1))
+
+    def blocks(x: pa.Table, y: pa.Table) -> pa.Table:
+        keys = {g: (x[g][0].as_py() if x.num_rows else None, x[g].type) for g in group}
+        left, right = ints(x[idx]), ints(y["_j"])
+        if not len(left) or not len(right):
+            none = np.empty(0, np.int64)
+            return rows(keys, none, none, np.empty((0, 0)), none, none)
+        dist = np.clip(1.0 - matrix(x[v]) @ matrix(y["_w"]).T, 0.0, 2.0)
+        return rows(keys, left, right, dist, *np.nonzero(left[:, None] < right[None, :]))
+
+    sizes = sized.groupBy(F.struct(*group).alias("_album")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_album")
+    tagged = sized.withColumn("_album", F.struct(*group))
+    small = tagged.join(sizes, "_album", "left_anti").select(*group, idx, v)
+    big = tagged.join(sizes, "_album", "left_semi")
+    other = big.select(F.col("_album").alias("_album"), F.col(idx).alias("_j"), F.col(v).alias("_w"))
+    return small.groupBy(*group).applyInArrow(whole, schema).unionByName(block_pairs(big, other, blocks, schema, idx, "_j", "_album", block_rows))
