@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions import vectors as V
-from vitrine.operators import cells, dedup, phash, similarity, zero_shot
+from vitrine.operators import cell_tree, cells, dedup, phash, similarity, zero_shot
 from vitrine.plans import variants
-from vitrine.session import scratch_path
+from vitrine.session import cut, scratch_path
 
 from . import views as W
 from .registry import query
@@ -159,8 +159,8 @@ def _(spark, sf):
 @query("join_vector_topk_ivf")
 def _(spark, sf):
     stock = registry_items(spark, sf)
-    centres = cells.train_cells(stock)
-    found = cells.search(W.cand(spark, sf), cells.assign(stock, centres), centres)
+    tree = cell_tree.train(stock)
+    found = cell_tree.search(W.cand(spark, sf), cell_tree.place(stock, tree), tree)
     return found.select("qid", "id", F.round("sim", 6).alias("sim"), "rank")
 
 
@@ -168,11 +168,10 @@ def _(spark, sf):
 def _(spark, sf):
     stock = registry_items(spark, sf)
     n, dim = stock.count(), len(stock.select("v").first()["v"])
-    centres = cells.train_cells(stock, cells.cell_count(n, dim, quantised=True))
-    placed = cells.assign(stock, centres)
-    rest = cells.residuals(placed, centres)
+    tree = cell_tree.train(stock, cells.cell_count(n, quantised=True))
+    rest = cut(cell_tree.residuals(cell_tree.place(stock, tree), tree))
     book = cells.train_codebooks(rest, *cells.pq_shape(dim, n))
-    found = cells.pq_search(W.cand(spark, sf), cells.encode(rest, book), centres, book, items=stock)
+    found = cell_tree.pq_search(W.cand(spark, sf), cells.encode(rest, book), tree, book, items=stock)
     return found.select("qid", "id", F.round("sim", 6).alias("sim"), "rank")
 
 

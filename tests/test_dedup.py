@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import hamming
-from vitrine.operators import cells, dedup, phash, similarity
+from vitrine.operators import cell_tree, cells, dedup, phash, similarity
 
 
 def frame(spark, vectors, key="qid"):
@@ -254,3 +254,54 @@ def test_distances_inside_albums_of_any_size(spark, block):
     assert len(out) == len({(r.album, r.i, r.j) for r in out}) == sum(n * (n - 1) // 2 for n in sizes.values())
     vectors = {(a, i): np.array(v) for a, i, v in rows}
     assert all(r.i < r.j and abs(r.distance - (1 - vectors[r.album, r.i] @ vectors[r.album, r.j])) < 1e-9 for r in out)
+
+
+def found_pairs(df):
+    return {(r["qid"], r["id"]) for r in df.collect()}
+
+
+def test_cells_on_two_levels(spark):
+    """More fine cells than any task sees: few coarse ones, each with its own."""
+    v = clustered(1200, 60)
+    stock, queries = frame(spark, enumerate(v), "id"), frame(spark, enumerate(v[:80]))
+    tree = cell_tree.train(stock, 90)
+    shares = {r["cell"]: r["count"] for r in tree.shares().collect()}
+    assert len(tree.coarse) == 10 and 60 <= sum(shares.values()) <= 130
+    assert max(shares.values()) < 0.5 * sum(shares.values())
+    placed = cell_tree.place(stock, tree)
+    assert placed.count() == 1200 and {r["cell"] for r in placed.collect()} <= {r["id"] for r in tree.fine.collect()}
+    exact = found_pairs(similarity.top_k(queries, stock))
+    assert len(exact & found_pairs(cell_tree.search(queries, placed, tree, probes=8, coarse_probes=3))) >= 0.9 * len(exact)
+    every = cell_tree.search(queries, placed, tree, probes=500, coarse_probes=10, block_rows=70)
+    assert found_pairs(every) == exact
+    # A vector meets the centroids of its coarse cells, not all of them.
+    assert sum(sorted(shares.values())[-3:]) < 0.7 * sum(shares.values())
+
+
+def test_a_hot_cell_has_more_fine_cells(spark):
+    v = np.vstack([clustered(900, 1, noise=0.3), clustered(100, 9, seed=5)])
+    stock = frame(spark, enumerate(v), "id")
+    tree = cell_tree.train(stock, 64)
+    coarse = {r["cell"]: r["count"] for r in cells.assign(stock, tree.coarse).groupBy("cell").count().collect()}
+    shares = {r["cell"]: r["count"] for r in tree.shares().collect()}
+    assert set(shares) == set(coarse)
+    assert sum(shares[c] for c in shares if coarse[c] >= 100) >= 0.6 * sum(shares.values())
+    one = cell_tree.train(frame(spark, [(1, [0.0, 1.0])], "id"))
+    assert cell_tree.search(frame(spark, [(7, [0.0, 1.0])]), cell_tree.place(frame(spark, [(1, [0.0, 1.0])], "id"), one), one).count() == 1
+
+
+def test_quantised_recall_over_the_tree(spark):
+    v = clustered(800, 16)
+    stock, queries = frame(spark, enumerate(v), "id"), frame(spark, enumerate(v[:40]))
+    tree = cell_tree.train(stock, 10)
+    rest = cell_tree.residuals(cell_tree.place(stock, tree), tree)
+    book = cells.train_codebooks(rest, 8, 6)
+    exact = found_pairs(similarity.top_k(queries, stock))
+    coded = cells.encode(rest, book)
+    found = cell_tree.pq_search(queries, coded, tree, book, probes=10, items=stock, refine=8)
+    assert len(exact & found_pairs(found)) >= 0.8 * len(exact)
+    assert cell_tree.pq_search(queries, coded, tree, book, probes=10).count() == 200
+
+
+def test_cell_numbers_have_no_cap():
+    assert cells.cell_count(10**12) == 10**6 and cells.cell_count(10**4, quantised=True) == 100 and cells.cell_count(390, quantised=True) == 10 and cells.cell_count(3, True) == 1

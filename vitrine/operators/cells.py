@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.vectors import as_double
+from ..functions.vectors import as_double, dot
 from ..session import cut, require_small
 from .blocks import best_k, block_pairs, ints, list_column, matrix
 from .similarity import PAIR, _pairs, top_k
@@ -36,12 +37,13 @@ def _share(spark: SparkSession, table: np.ndarray):
     return spark.sparkContext.broadcast(table)
 
 
-def cell_count(n: int, dim: int, quantised: bool = False) -> int:
-    """⌊√n⌋ cells, kept to what every task can hold; at most n / 39 when quantised."""
-    limits = [math.isqrt(n), S.MAX_CELLS, S.BROADCAST_BYTES // (8 * dim)]
-    if quantised:
-        limits.append(n // 39)
-    return max(1, min(limits))
+def cell_count(n: int, quantised: bool = False) -> int:
+    """⌊√n⌋ cells; at most n / 39 when quantised.
+
+    More cells than a broadcast may hold are refused by the functions here; ``cell_tree`` has
+    no such limit.
+    """
+    return max(1, min(math.isqrt(n), n // 39) if quantised else math.isqrt(n))
 
 
 def train_cells(
@@ -50,11 +52,13 @@ def train_cells(
     """Centroids of the cells, one row each, from (id, v). Training looks at about
     ``per_cell`` rows per cell; every row is placed in a cell afterwards."""
     n = items.count()
-    dim = len(items.select("v").first()["v"])
-    k = cells or cell_count(n, dim)
+    k = cells or cell_count(n)
     train = _drawn(items, k * per_cell, n).select(array_to_vector(as_double(F.col("v"))).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=iterations, distanceMeasure="cosine", initMode="random").fit(train)
-    centres = np.asarray(model.clusterCenters())
+    if k > 1:
+        model = KMeans(k=k, seed=seed, maxIter=iterations, distanceMeasure="cosine", initMode="random").fit(train)
+        centres = np.asarray(model.clusterCenters())
+    else:  # one cell lies around the mean
+        centres = train.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()[None, :]
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
 
 
@@ -185,7 +189,7 @@ def encode(residual: DataFrame, book: np.ndarray) -> DataFrame:
                     names=["id", "cell", "codes"],
                 )
 
-    return residual.mapInArrow(run, "id long, cell int, codes array<int>")
+    return residual.mapInArrow(run, f"id long, cell {dict(residual.dtypes)['cell']}, codes array<int>")
 
 
 def pq_search(
@@ -215,10 +219,11 @@ def pq_search(
 
     found = block_pairs(placed, coded, kernel, PAIR, "qid", "id", "cell", block_rows)
     best = top_per_key(found, ["qid"], [F.col("sim").desc(), F.col("id")], wide, "rank")
-    if items is None:
-        return best
-    from ..functions.vectors import dot
+    return best if items is None else exact_order(best, queries, items, k)
+
 
+def exact_order(best: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of found (qid, id), by their exact products."""
     exact = (
         best.select("qid", "id")
         .join(queries.select("qid", F.col("v").alias("_q")), "qid")

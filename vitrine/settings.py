@@ -77,4 +77,3 @@ BLOCK_ROWS = 4096
 CHUNK_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_LABELS = 10_000
-MAX_CELLS = 16_384
