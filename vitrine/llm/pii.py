@@ -1,13 +1,25 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides.
 
-Exact patterns give the base spans, which always stay. A looser pattern gives further
-candidates: phone numbers without a plus, card numbers that fail their check digit, spelled-out
-addresses and secrets. On every candidate, base or not, labelers vote yes, no or nothing:
-pattern, check rule, gazetteer, context before the span, and shape. Expectation-maximisation
-over the counts of vote patterns (at most 3^5 per kind, whatever the size of the corpus)
-estimates each labeler's reliability; its posteriors train a logistic span classifier on the
-votes and the span's features, which is compiled into a column expression and adds spans.
-DataFrame functions only; the corpus never leaves the executors.
+Exact patterns give the base spans, which always stay. Looser patterns give further candidates:
+phone and card numbers in other forms, spelled-out addresses, IBANs, social security numbers,
+IPv6 addresses and secrets. On every candidate, base or not, five labelers vote yes, no or nothing,
+each on evidence of its own:
+
+* check: check digits and number rules (Luhn, IBAN modulo 97, areas of social security numbers);
+* gazetteer: endings of domains, calling codes, card issuers, IBAN countries, key prefixes,
+  reserved addresses;
+* left and right: words before and after the span;
+* variety: whether its characters vary as in a real one (not 0000000 or 12345678).
+
+None of them knows whether a span is a base span. Expectation-maximisation over the counts of vote
+patterns (at most 3^5 per kind, whatever the size of the corpus) estimates each labeler's
+reliability; its posteriors train a logistic span classifier. That one sees the votes and what no
+labeler reads: length, shares of upper case and of distinct characters, separators, and the
+characters beside the span. It is compiled into a column expression and adds spans. DataFrame
+functions only; the corpus never leaves the executors.
+
+Null and empty texts have no spans. Repeated rows stay, rows without a key too. Other columns are
+carried in one struct, so none can clash with a working name.
 """
 
 from __future__ import annotations
@@ -20,11 +32,15 @@ from ..functions.binding import let
 from ..session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-ALL_KINDS = KINDS + ("secret",)
-LABELERS = ("pattern", "rule", "gazetteer", "context", "shape")
+ALL_KINDS = (*KINDS, "iban", "ssn", "ipv6", "secret")
+LABELERS = ("check", "gazetteer", "left", "right", "variety")
+#: What the classifier sees besides the votes, and the numbers each feature can be.
+FEATURES = {"size": 8, "upper": 2, "distinct": 4, "parts": 4, "before": 4, "after": 3}
 #: A candidate that is no base span is added from this probability on.
 ADD_FROM = 0.9
-CONTEXT_CHARS = 32
+LEFT_CHARS, RIGHT_CHARS = 32, 16
+#: Distinct patterns of votes and features that the classifier is fitted on: the most frequent ones.
+TRAIN_PATTERNS = 100_000
 
 # The patterns of the base spans. \G lets a span start where the last one ended;
 # else the look-behind makes it start where its run of characters starts, so that a long run
@@ -36,29 +52,65 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "phone": "+"}
-LOOSE = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]{1,63}+){1,5}+"
-    r"|(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}+(?![0-9A-Za-z])"
-    r"|(?<![0-9+.-])[0-9]{13,19}+(?![0-9.-])"
-    r"|(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+LOOSE = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z0-9-]{1,63}+){1,5}+",
+    "card": r"(?<![0-9A-Za-z.+-])[0-9]{13,19}+(?![0-9A-Za-z]|[.-][0-9])",
+    "phone": r"(?<![0-9A-Za-z+./-])(?:\([0-9]{3,5}\)|0[0-9]{2,4}|[0-9]{3})[ ./-][0-9]{3,8}(?:[ .-][0-9]{2,4}){0,2}(?![0-9A-Za-z]|[./-][0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "ipv6": r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}+:[0-9A-Fa-f:]{4,36}+(?![0-9A-Za-z:.])",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[A-Z0-9]{12,60}|(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abprs])[-_][A-Za-z0-9_-]{12,120})(?![A-Za-z0-9_+/-])"
+    r"|(?i:password|passwd|passphrase|passwort|contrase\u00f1a)[\"']? ?[:=] ?[\"']?[^\s\"',;]{6,64}",
+}
+LOOSE_NEEDS = {
+    "email": r"[\[(](?:at|AT)[\])]", "card": "[0-9]{13}", "phone": "[0-9]{3}[) ./-]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "ipv6": ":[0-9A-Fa-f:]*:",
+    "secret": "[0-9a-f]{32}|[0-9A-F]{32}|AKIA|(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abprs])[-_][A-Za-z0-9_]|(?i:passw|passphrase|contrase)",
+}
+
+# What the labelers know.
+TLDS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "mobi", "app", "dev", "cloud", "online", "site", "store", "shop", "tech", "xyz", "club", "blog", "news", "email",
+    "live", "agency", "studio", "design", "digital", "media", "network", "systems", "solutions", "services", "group", "company", "global", "world", "life", "today", "zone", "space", "website", "host",
+    "page", "link", "top", "vip", "work", "team", "software", "engineering", "consulting", "finance", "bank", "legal", "health", "care", "academy", "school", "university", "education", "museum", "travel",
+)
+CALLING_CODE = (
+    r"^(?:1|7|2(?:0|7|[1-6][0-9]|9[01789])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[013])|5(?:[1-8]|0[0-9]|9[0-9])|6(?:[0-6]|[78][0-9]|9[0-2])"
+    r"|8(?:[1246]|5[02356]|80)|9(?:[0-58]|6[0-8]|7[0-79]|9[2-68]))"
+)
+CARD_ISSUER = r"^(?:4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|35|30[0-5]|36|38|6011|65|64[4-9])"
+RESERVED_IP = r"^(?:0|10|127|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|2(?:2[4-9]|3[0-9]|4[0-9]|5[0-5]))\."
+IBAN_CHARS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+KEY_PREFIX = r"^(?:AKIA|sk[-_]|pk[-_]|rk[-_]|gh[pos][-_]|glpat[-_]|xox[abprs][-_])|^(?i:passw|passphrase|contrase)"
+YES_LEFT = (
+    r"mail|phone|\btel\b|tel[.:]|mobile|mobil|cell|\bcall|\bfax|card|visa|kredit|carte|tarjeta|\bhost|\bip\b|address|adresse|token|secret|password|passwd|passwort|api.?key|credential|contact|kontakt"
+    r"|t.l.phone|tel.fono|telefon|iban|account|konto|compte|cuenta|\bssn\b|social security|insurance"
+)
+NO_LEFT = (
+    r"version|\bv\.|isbn|issn|\bdoi\b|order|invoice|\bpage|figure|section|\bsha|md5|commit|checksum|digest|hash|etag|build|revision|serial|licen[sc]e|lizenz|\bpart\b|\bsku\b|ticket|tracking|rechnung"
+    r"|bestell|facture|commande|factura|pedido|example|beispiel|\bdate\b|datum"
 )
-TLDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "ch", "at", "nl", "be", "us", "ca")
-YES_WORDS = r"mail|phone|tel\b|tel:|mobile|call|fax|card|visa|kredit|carte|tarjeta|server|host|\bip\b|address|token|secret|password|passwd|api.?key|contact|kontakt|t.l.phone|tel.fono|telefon"
-NO_WORDS = r"version|\bv\.|isbn|issn|doi|order|invoice|page|figure|section|sha|md5|commit|checksum|license|lizenz|licence"
+YES_RIGHT = r"^[^A-Za-z0-9]{0,3}(?:is my|ist mein|\(?(?:mobile|home|office|work|cell|direct|privat|mobil)\b|ext\b|extension)"
+NO_RIGHT = r"^[^A-Za-z0-9]{0,2}(?:%|km\b|kg\b|mm\b|cm\b|[kmgt]b\b|usd\b|eur\b|euro|dollar|years?\b|pages?\b|bytes?\b|items?\b|revision|checksum|sha|md5|commit|\.(?:tar|zip|gz|jpe?g|png|pdf)\b)"
+RUN_OF_DIGITS = r"0123456|1234567|2345678|3456789|9876543|8765432|7654321"
+SPAN = "array<struct<kind:string,s:int,e:int,m:string,l:string,r:string>>"
 
 
-def _cuts(text: Column, pattern: str) -> Column:
-    """(start, end, match, context) of each match: text between matches gives the places."""
+def _cuts(text: Column, kind: str, pattern: str) -> Column:
+    """kind, start, end, match and what stands beside each match: text between matches gives the places."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,m:string,c:string>>))")
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
-        span = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("c"))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("s"), end.alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(LEFT_CHARS)).alias("l"), F.left(x["n"], F.lit(RIGHT_CHARS)).alias("r"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.filter(F.zip_with(gaps, hits, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda x: x["m"].isNotNull())
+    with_next = let(gaps, lambda g: F.zip_with(g, F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("g"), b.alias("n"))))
+    pairs = F.filter(F.zip_with(with_next, hits, lambda g, m: F.struct(g["g"].alias("g"), g["n"].alias("n"), m.alias("m"))), lambda x: x["m"].isNotNull())
     return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
 
 
@@ -70,79 +122,139 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda acc, i: acc + digit(i)) % 10 == 0
 
 
+def iban_check(text: Column) -> Column:
+    """Whether an IBAN without spaces is 1 modulo 97, its first four characters read last and letters as 10 to 35."""
+    def add(acc: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+
+    turned = F.concat(F.substring(text, 5, 64), F.substring(text, 1, 4))
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add) == 1
+
+
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
 def _valid(kind: str, m: Column) -> Column:
+    """Whether a match of a base pattern is a base span."""
     if kind == "ip":
         part = lambda p: let(F.regexp_replace(p, "^0+(?=.)", ""), lambda z: F.when(F.length(z) <= 3, z.cast("int") <= 255).otherwise(F.lit(False)))
         return F.forall(F.split(m, r"\."), part)
-    digits = F.regexp_replace(m, "[^0-9]", "")
     if kind == "card":
-        return let(digits, lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False)))
+        return let(_digits(m), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False)))
     if kind == "phone":
-        return F.length(digits).between(9, 15)
+        return F.length(_digits(m)).between(9, 15)
     return F.lit(True)
 
 
-def _good(kind: str):
-    return lambda x: _valid(kind, x["m"])
-
-
-def _named(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["c"].alias("c"))
-
-
-def _votes(kind: Column, base: Column, x: Column) -> Column:
-    """Five votes of 1, 0 or -1 and two small features of a candidate."""
-    m, c = x["m"], F.lower(x["c"])
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    long_number = kind.isin("card")
-    yes, no = F.lit(1), F.lit(-1)
-    none = F.lit(0)
-    rule = F.when(base, yes).when(long_number, no).when(kind == "secret", F.when(m.rlike("[a-fA-F]") & m.rlike("[0-9]"), yes).otherwise(no)).otherwise(none)
-    tld = F.lower(F.regexp_extract(m, r"([A-Za-z]+)[\])]?$", 1))
-    gazetteer = F.when(kind == "email", F.when(tld.isin(*TLDS), yes).otherwise(no)).when(
-        (kind == "phone") & digits.rlike(r"^(0|1|33|34|39|44|49|[2-9][0-9]{2})"), yes).otherwise(none)
-    context = F.when(c.rlike(NO_WORDS), no).when(c.rlike(YES_WORDS), yes).otherwise(none)
-    shape = F.when(digits.rlike(r"^([0-9])\1{6,}$"), no).when(kind == "secret", F.when(F.length(m).isin(32, 40, 64), yes).otherwise(no)).when(
-        kind == "phone", F.when(F.length(digits).between(10, 13), yes).otherwise(none)).when(kind == "card", F.when(F.length(digits).isin(15, 16), yes).otherwise(none)).otherwise(none)
-    return F.struct(F.when(base, yes).otherwise(none).alias("pattern"), rule.alias("rule"), gazetteer.alias("gazetteer"), context.alias("context"), shape.alias("shape"),
-                    F.least(F.length(m) / 8, F.lit(4)).cast("int").alias("size"), m.rlike("[ ().-]").cast("int").alias("parted"))
+def _possible(kind: str, m: Column) -> Column:
+    """Whether a match of a loose pattern is a candidate at all."""
+    if kind == "phone":
+        return F.length(_digits(m)).between(9, 15)
+    if kind == "ipv6":
+        return let(F.split(m, ":", -1), lambda p: F.forall(p, lambda x: F.length(x) <= 4) & ((F.size(p) == 8) | (m.contains("::") & (F.size(p) <= 8) & m.rlike("[0-9A-Fa-f]"))))
+    return F.lit(True)
 
 
-def detect(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The key, the columns in ``keep``, and ``found``: kind, s, e, base and votes of each candidate.
+def _match_that(test, kind: str):
+    return lambda x: test(kind, x["m"])
+
+
+def _vote(yes: Column, no: Column) -> Column:
+    return F.when(no, -1).when(yes, 1).otherwise(0)
+
+
+def _votes(x: Column) -> dict[str, Column]:
+    """One vote of 1, 0 or -1 of each labeler on a candidate."""
+    kind, m, left, right, digits = x["kind"], x["m"], F.lower(x["l"]), F.lower(x["r"]), _digits(x["m"])
+    bare = F.regexp_replace(m, " ", "")
+    never = F.lit(False)
+
+    def by_kind(**votes: Column) -> Column:
+        out = None
+        for name, vote in votes.items():
+            out = F.when(kind == name, vote) if out is None else out.when(kind == name, vote)
+        return out.otherwise(0)
+
+    passes = luhn(digits)
+    iban = iban_check(bare)
+    area = digits.rlike(r"^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+    check = by_kind(card=_vote(passes, ~passes), iban=_vote(iban, ~iban), ssn=_vote(area, ~area), ip=_vote(never, m.rlike(r"(?:^|\.)0[0-9]|\.0$|^0\.")))
+    ending = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)[\])]?$", 1))
+    known = ending.isin(*TLDS) | ending.rlike("^[a-z]{2}$")
+    size = F.create_map(*[F.lit(v) for pair in IBAN_CHARS.items() for v in pair])
+    country = F.coalesce(F.try_element_at(size, F.substring(m, 1, 2)) == F.length(bare), F.lit(False))
+    issuer, plus = digits.rlike(CARD_ISSUER), m.startswith("+")
+    gazetteer = by_kind(
+        email=_vote(known, ~known), card=_vote(issuer, ~issuer), iban=_vote(country, ~country), phone=_vote((plus & digits.rlike(CALLING_CODE)) | m.rlike(r"^\(?0"), plus & ~digits.rlike(CALLING_CODE)),
+        ip=_vote(never, m.rlike(RESERVED_IP)), ipv6=_vote(m.rlike("^[23][0-9A-Fa-f]{3}:"), m.rlike("^(?i:fe[89ab]|f[cd]|::1$|2001:db8)")), secret=_vote(m.rlike(KEY_PREFIX), never))
+    # How many different characters a span has, and whether they run up or down.
+    kinds_of = F.size(F.array_distinct(F.split(F.lower(F.regexp_replace(m, "[^A-Za-z0-9]", "")), "")))
+    runs = digits.rlike(RUN_OF_DIGITS) | digits.rlike(r"([0-9])\1{6}")
+    variety = by_kind(
+        card=_vote(never, runs | (kinds_of <= 4)), phone=_vote(never, runs | (kinds_of <= 3)), ssn=_vote(never, runs | (kinds_of <= 3)), iban=_vote(kinds_of >= 5, kinds_of <= 4),
+        secret=F.when(m.rlike(r"^(?i:passw|passphrase|contrase)"), 0).otherwise(_vote((kinds_of >= 10) & ~runs, runs | (kinds_of <= 8))))
+    return {"check": check, "gazetteer": gazetteer, "left": _vote(left.rlike(YES_LEFT), left.rlike(NO_LEFT)), "right": _vote(right.rlike(YES_RIGHT), right.rlike(NO_RIGHT)), "variety": variety}
+
+
+def _features(x: Column) -> dict[str, Column]:
+    """What no labeler reads, as small numbers."""
+    m = x["m"]
+    share = lambda pattern: F.length(F.regexp_replace(m, pattern, "")) / F.length(m)
+    last, first = F.right(F.rtrim(x["l"]), F.lit(1)), F.left(x["r"], F.lit(1))
+    distinct = F.size(F.array_distinct(F.split(m, ""))) / F.length(m)
+    return {
+        "size": F.least(F.floor(F.length(m) / 8), F.lit(7)).cast("int"), "upper": (share("[^A-Z]") > 0.3).cast("int"), "distinct": F.least(F.floor(distinct * 4), F.lit(3)).cast("int"),
+        "parts": F.least(F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.lit(3)).cast("int"),
+        "before": F.when(last.isin(":", "="), 1).when(last.rlike(r"[\"'(\[<#]"), 2).when(last.rlike("[0-9A-Za-z]") | (last == ""), 0).otherwise(3),
+        "after": F.when(first.rlike(r"^[\s,;.!?)\]\"'>]") | (first == ""), 0).when(first.rlike("[0-9A-Za-z]"), 2).otherwise(1),
+    }
+
+
+def _candidate(base: bool):
+    """kind, s, e, base, the votes and the features of a span."""
+    return lambda x: F.struct(
+        x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"),
+        F.struct(*[v.cast("int").alias(n) for n, v in {**_votes(x), **_features(x)}.items()]).alias("v"))
+
+
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc`` (the whole row, a struct), ``id`` (its key) and ``found``: kind, s, e, base and votes of each candidate.
 
     A looser candidate that touches a base span is dropped. Offsets count code points.
     """
-    rows = docs.select(key, *[c for c in keep if c != key], F.coalesce("text", F.lit("")).alias("_t"))
+    none = F.array().cast(SPAN)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    t = F.col("t")
+    spans = {}
     for kind in KINDS:
-        needed = F.col("_t").contains(NEEDS[kind]) if kind in NEEDS else F.col("_t").rlike("[0-9]")
-        spans = F.filter(_cuts(F.col("_t"), BASE[kind]), _good(kind))
-        rows = rows.withColumn(f"_{kind}", F.when(needed, spans).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,m:string,c:string>>)")))
-    rows = rows.withColumn("_loose", F.when(F.col("_t").rlike(r"[0-9]|[\[(](?:at|AT)[\])]"), _cuts(F.col("_t"), LOOSE)).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,m:string,c:string>>)")))
-    flat = F.concat(*(F.transform(f"_{kind}", _named(kind)) for kind in KINDS))
-    rows = rows.withColumn("_base", flat)
-    m = lambda x: x["m"]
-    guess = lambda x: F.when(m(x).rlike(r"[\[(](?:at|AT)[\])]"), "email").when(m(x).rlike("^[0-9]{13,19}$"), "card").when(m(x).rlike("^[0-9A-Fa-f]{32,64}$"), "secret").otherwise("phone")
-    free = F.filter("_loose", lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    extra = F.transform(free, lambda x: F.struct(guess(x).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), m(x).alias("m"), x["c"].alias("c")))
-    whole = lambda base: lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), _votes(x["kind"], F.lit(base), x).alias("v"))
-    return rows.select(key, *[c for c in keep if c != key], F.concat(F.transform("_base", whole(True)), F.transform(extra, whole(False))).alias("found"))
+        needed = t.contains(NEEDS[kind]) if kind in NEEDS else t.rlike("[0-9]")
+        spans[f"base_{kind}"] = F.when(needed, F.filter(_cuts(t, kind, BASE[kind]), _match_that(_valid, kind))).otherwise(none)
+    for kind, pattern in LOOSE.items():
+        spans[f"loose_{kind}"] = F.when(t.rlike(LOOSE_NEEDS[kind]), F.filter(_cuts(t, kind, pattern), _match_that(_possible, kind))).otherwise(none)
+    rows = rows.withColumns(spans)
+    rows = rows.withColumns({"base": F.concat(*(f"base_{k}" for k in KINDS)), "loose": F.concat(*(f"loose_{k}" for k in LOOSE))})
+    free = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return rows.select("doc", "id", F.concat(F.transform("base", _candidate(True)), F.transform(free, _candidate(False))).alias("found"))
 
 
 def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> tuple[dict, dict]:
-    """EM over (kind, votes, count): the posterior of each pattern, and P(vote | truth) by kind and labeler."""
+    """EM over (kind, votes, count): the posterior of each pattern, and P(vote | truth) by kind and labeler.
+
+    Before anything is seen a labeler is taken to be right more often than wrong; that belief
+    weighs a fiftieth of the candidates, and the share of true ones stays between 5 and 95 %, so a
+    kind whose candidates all agree does not turn a vote against it into noise.
+    """
     posterior, tables = {}, {}
     for kind in {p[0] for p in patterns}:
         own = [p for p in patterns if p[0] == kind]
         votes, counts = np.array([p[1] for p in own]), np.array([p[2] for p in own], dtype=float)
+        belief = (counts.sum() / 50 + 1) * np.array([[1.0, 4.0], [2.0, 2.0], [4.0, 1.0]]) / 7  # rows: no, nothing, yes; columns: true, false
         q = np.clip(0.5 + 0.2 * votes.sum(axis=1), 0.05, 0.95)  # start from the majority
         for _ in range(rounds):
-            prior = (counts @ q + 1) / (counts.sum() + 2)
-            table = np.empty((votes.shape[1], 3, 2))
-            for j in range(votes.shape[1]):
-                for v in (-1, 0, 1):
-                    # A labeler is taken to be right more often than wrong before anything is seen.
-                    table[j, v + 1] = [counts @ ((votes[:, j] == v) * q) + (2 if v == 1 else 1), counts @ ((votes[:, j] == v) * (1 - q)) + (2 if v == -1 else 1)]
+            prior = np.clip(counts @ q / counts.sum(), 0.05, 0.95)
+            table = np.stack([
+                belief + np.array([[counts @ ((votes[:, j] == v) * q), counts @ ((votes[:, j] == v) * (1 - q))] for v in (-1, 0, 1)]) for j in range(votes.shape[1])])
             table /= table.sum(axis=1, keepdims=True)
             log = np.log(prior) - np.log(1 - prior) + sum(np.log(table[j, votes[:, j] + 1, 0] / table[j, votes[:, j] + 1, 1]) for j in range(votes.shape[1]))
             q = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
@@ -151,26 +263,30 @@ def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int
     return posterior, tables
 
 
-def _features(kind: str, votes: tuple[int, ...], size: int, parted: int) -> np.ndarray:
-    return np.array([1.0, *(kind == k for k in ALL_KINDS), *votes, *(v != 0 for v in votes), size / 4, parted], dtype=float)
+def _cells() -> list[tuple[str, int]]:
+    """(column, value) of each input of the classifier: kinds, votes against and for, and all but the first value of each feature."""
+    return [*(("kind", k) for k in ALL_KINDS), *((n, v) for n in LABELERS for v in (-1, 1)), *((n, v) for n, values in FEATURES.items() for v in range(1, values))]
+
 
+def fit(found: DataFrame, most: int = TRAIN_PATTERNS) -> np.ndarray:
+    """Weights of the span classifier, trained on the posteriors of the candidates' vote patterns.
 
-def fit(found: DataFrame, rounds: int = 300) -> np.ndarray:
-    """Weights of the span classifier, trained on the posteriors of all candidates."""
-    seen = found.select(F.explode("found").alias("x")).select("x.kind", "x.v.*").groupBy("kind", *LABELERS, "size", "parted").count().collect()
-    if not seen:
-        return np.zeros(1 + len(ALL_KINDS) + 2 * len(LABELERS) + 2)
-    counts: dict = {}
-    for r in seen:
-        p = (r["kind"], tuple(r[n] for n in LABELERS))
-        counts[p] = counts.get(p, 0) + r["count"]
-    posterior, _ = reliabilities([(k, v, n) for (k, v), n in sorted(counts.items())])
-    x = np.array([_features(r["kind"], tuple(r[n] for n in LABELERS), r["size"], r["parted"]) for r in seen])
-    y = np.array([posterior[(r["kind"], tuple(r[n] for n in LABELERS))] for r in seen])
-    n = np.array([r["count"] for r in seen], dtype=float)
+    The driver sees counts: of vote patterns, all of them, and of the ``most`` frequent patterns of
+    votes and features together.
+    """
+    seen = found.select(F.explode("found").alias("x")).select("x.kind", "x.v.*").groupBy("kind", *LABELERS, *FEATURES).count()
+    cells = _cells()
+    votes = seen.groupBy("kind", *LABELERS).agg(F.sum("count").alias("count")).collect()
+    if not votes:
+        return np.zeros(1 + len(cells))
+    posterior, _ = reliabilities(sorted((r["kind"], tuple(r[n] for n in LABELERS), r["count"]) for r in votes))
+    rows = seen.orderBy(F.desc("count"), "kind", *LABELERS, *FEATURES).limit(most).collect()
+    x = np.array([[1.0, *(r[c] == v for c, v in cells)] for r in rows], dtype=float)
+    y = np.array([posterior[r["kind"], tuple(r[n] for n in LABELERS)] for r in rows])
+    n = np.array([r["count"] for r in rows], dtype=float)
     w, n = np.zeros(x.shape[1]), n / n.sum()
     ridge = 1e-4 * np.eye(x.shape[1])
-    for _ in range(min(rounds, 40)):  # Newton steps
+    for _ in range(40):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (n * (y - p)) - ridge @ w)
         w += step
@@ -181,28 +297,25 @@ def fit(found: DataFrame, rounds: int = 300) -> np.ndarray:
 
 def probability(weights: np.ndarray, x: Column) -> Column:
     """The classifier as a column expression over a candidate."""
-    v = x["v"]
-    k, m = len(ALL_KINDS), len(LABELERS)
     total = F.lit(float(weights[0]))
-    for name, w in zip(ALL_KINDS, weights[1 : 1 + k], strict=True):
-        total += F.when(x["kind"] == name, float(w)).otherwise(0.0)
-    for name, w, any_w in zip(LABELERS, weights[1 + k : 1 + k + m], weights[1 + k + m :], strict=False):
-        total += v[name] * float(w) + F.when(v[name] != 0, float(any_w)).otherwise(0.0)
-    total += v["size"] / 4 * float(weights[-2]) + v["parted"] * float(weights[-1])
+    for (name, value), w in zip(_cells(), weights[1:], strict=True):
+        total += F.when((x["kind"] if name == "kind" else x["v"][name]) == value, float(w)).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 
-def find(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = (), add_from: float = ADD_FROM) -> DataFrame:
-    """The key, ``keep`` and ``spans``: kind, s, e, base of all spans, by kind and start.
-
-    Null and empty texts have no spans. Repeated rows stay, and rows without a key too.
-    """
-    found = cut(detect(docs, key, keep))
+def _spans(docs: DataFrame, key: str, text: str, add_from: float) -> DataFrame:
+    """``doc``, ``id`` and ``spans``: o (order of the kind), s, e, kind, base."""
+    found = cut(detect(docs, key, text))
     weights = fit(found)
     chosen = F.filter("found", lambda x: x["base"] | (probability(weights, x) >= add_from))
     slim = F.transform(chosen, lambda x: F.struct(
         F.array_position(F.array(*map(F.lit, ALL_KINDS)), x["kind"]).alias("o"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["base"].alias("base")))
-    return found.select(key, *[c for c in keep if c != key], F.array_sort(slim).alias("spans"))
+    return found.select("doc", "id", F.array_sort(slim).alias("spans"))
+
+
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", add_from: float = ADD_FROM) -> DataFrame:
+    """The key and ``spans``: kind, s, e, base of all spans, by kind and start, a row per row."""
+    return _spans(docs.select(key, text), key, text, add_from).select(F.col("id").alias(key), "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -215,17 +328,25 @@ def digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, *map(count, KINDS), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; spans that overlap become one."""
-    named = F.transform(F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))), lambda x: x)
-    start = F.expr("named_struct('at', 0, 'out', cast(array() as array<string>))")
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", add_from: float = ADD_FROM) -> DataFrame:
+    """``docs`` with every span replaced by its kind in brackets; spans that overlap become one.
+
+    All other columns come back as they are, whatever their names; a column ``n_chars`` counts the
+    new text.
+    """
+    rows = _spans(docs, key, text, add_from)
+    t = F.col("doc")[text]
+    named = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, x: F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), F.concat(a["out"], F.array(
-        F.concat(F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
+        F.concat(F.substring(t, a["at"] + 1, x["s"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
     ).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
-    done = F.aggregate(named, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    found = find(docs, key, tuple(docs.columns), **how)
-    text = F.when(F.size("spans") > 0, done).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    done = F.aggregate(named, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
+    cleaned = rows.select("doc", F.when(F.size("spans") > 0, done).otherwise(t).alias("cleaned"))
+    columns = [F.col("doc")[c].alias(c) for c in docs.columns]
+    for i, c in enumerate(docs.columns):
+        if c == text:
+            columns[i] = F.col("cleaned").alias(c)
+        elif c == "n_chars":
+            columns[i] = F.length("cleaned").cast(docs.schema[c].dataType).alias(c)
+    return cleaned.select(*columns)
