@@ -20,13 +20,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat an id and text count once; rows without an id stay.
     """
-    columns = docs.columns
-    found = near_duplicates.near_duplicates(docs).where(F.col("doc_id").isNotNull())
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    marked = docs.join(ids, "doc_id", "left").where(F.coalesce("_kept", F.lit(True)))
-    single = marked.where(F.coalesce("_rows", F.lit(1)) == 1)
-    repeated = marked.where("_rows > 1").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).select(*columns)
+    found = near_duplicates.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull())
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    # The user's columns travel in one struct, so none can clash with a name used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    marked = rows.join(ids, F.col("id") == F.col("doc_id"), "left").where(F.coalesce("kept", F.lit(True)))
+    single = marked.where(F.coalesce("rows", F.lit(1)) == 1)
+    repeated = marked.where(F.col("rows") > 1).dropDuplicates(["id", "t"])
+    return single.unionByName(repeated).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ STAGES = [
     ("sentencepiece", tokenize),
 ]
 
-#: Fitted models, tokenizers and searches over a graph are outside SQL; tests check run() stage by stage.
+#: Fitted models, tokenizers and searches over a graph are outside SQL; tests/llm/test_pipeline.py
+#: holds each stage and run() against brute force on a small corpus.
 ORACLE_SQL = None
 
 

@@ -109,6 +109,7 @@ def _shift(x: Column, by: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows without an id stay."""
-    held = contaminated(docs, benchmark, key=key, **how).select(F.col(key).alias("_held")).distinct()
-    return docs.join(held, F.col(key) == F.col("_held"), "left_anti")
+    """``docs`` without the documents that hold an item; rows without an id stay, and columns of any name."""
+    held = contaminated(docs, benchmark, key=key, **how).select(F.col(key).alias("held")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("id"))
+    return rows.join(held, F.col("id") == F.col("held"), "left_anti").select("row.*")
