@@ -27,7 +27,9 @@ def swapped_scores(texts, model):
 def coded(texts, place):
     swaps = [s for t in texts for s in toxicity.sentence_swaps(t)]
     known = lambda found: sorted(place[w] for w in found if w in place)
-    return toxicity._swaps([known(f) for f, _ in swaps], [[place[a] for a, _ in own] for _, own in swaps], [[-1 if b is None else place[b] for _, b in own] for _, own in swaps], len(texts))
+    flat = [(i, place[a], -1 if b is None else place[b]) for i, (_, own) in enumerate(swaps) for a, b in own]
+    sentences = toxicity.Sample.of(np.zeros(len(swaps)), [known(f) for f, _ in swaps])
+    return toxicity._swaps(sentences, *(np.array([f[j] for f in flat]) for j in range(3)), len(texts))
 
 
 def test_the_penalty_is_that_of_swapped_sentences():

@@ -237,30 +237,34 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 3,
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = lambda found: sorted(place[w] for w in found if w in place)
         for part in slices(batches, "text"):
-            swaps = [sentence_swaps(t) for t in part["text"]]
-            yield pd.DataFrame({
-                "label": part["label"], "at": [known(features_of(t)) for t in part["text"]], "sentences": [[known(f) for f, _ in s] for s in swaps],
-                "removed": [[[place[a] for a, _ in own] for _, own in s] for s in swaps], "added": [[[-1 if b is None else place[b] for _, b in own] for _, own in s] for s in swaps]})
-
-    # Bounded by train_rows texts and the size of the model.
-    fields = "label int, at array<int>, sentences array<array<int>>, removed array<array<int>>, added array<array<int>>"
+            rows = []
+            for text, label in zip(part["text"], part["label"], strict=True):
+                swaps = [(known(found), own) for found, own in sentence_swaps(text)]
+                flat = [(i, place[a], -1 if b is None else place[b]) for i, (_, own) in enumerate(swaps) for a, b in own]
+                named = [(i, w) for i, (found, _) in enumerate(swaps) for w in found]
+                rows.append((label, known(features_of(text)), len(swaps), [i for i, _ in named], [w for _, w in named], *([f[j] for f in flat] for j in range(3))))
+            yield pd.DataFrame(rows, columns=["label", "at", "sentences", "named_of", "named", "of", "removed", "added"])
+
+    # Bounded by train_rows texts and the size of the model. Sentences are numbered within their text.
+    fields = "label int, at array<int>, sentences int, named_of array<int>, named array<int>, of array<int>, removed array<int>, added array<int>"
     coded = rows.mapInPandas(encode, fields).toPandas()
     x = Sample.of(coded["label"], coded["at"])
-    flat = lambda c: [own for s in coded[c] for own in s]
-    swaps = _swaps(flat("sentences"), flat("removed"), flat("added"), len(coded))
+    start = (coded["sentences"].cumsum() - coded["sentences"]).to_numpy()
+    flat = lambda c: np.concatenate([*coded[c], np.empty(0)]).astype(np.int64)
+    numbered = lambda c: flat(c) + np.repeat(start, coded[c].str.len())
+    sentences = Sample(np.zeros(int(coded["sentences"].sum())), flat("named"), numbered("named_of"))
+    swaps = _swaps(sentences, numbered("of"), flat("removed"), flat("added"), len(coded))
+    del coded
     w, bias = _descend(x, len(place), swaps, swap_penalty, ridge, 400)
     return Model({t: float(w[i]) for t, i in place.items() if w[i] != 0}, bias)
 
 
-def _swaps(sentences: list, removed: list, added: list, n_texts: int) -> Swaps | None:
+def _swaps(sentences: Sample, of: np.ndarray, removed: np.ndarray, added: np.ndarray, n_texts: int) -> Swaps | None:
     """The swaps of all sentences; those of one term in one sentence share the weight of a text."""
-    if not sentences:
+    if not len(of):
         return None
-    sizes = [len(r) for r in removed]
-    out = np.concatenate([*map(np.asarray, removed)]).astype(np.int64)
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    term = np.unique(of * (out.max() + 1) + out, return_inverse=True)[1]
-    return Swaps(Sample.of(np.zeros(len(sentences)), sentences), of, out, np.concatenate([*map(np.asarray, added)]).astype(np.int64), 1 / np.bincount(term)[term] / n_texts)
+    term = np.unique(of * (removed.max() + 1) + removed, return_inverse=True)[1]
+    return Swaps(sentences, of, removed, added, 1 / np.bincount(term)[term] / n_texts)
 
 
 def _level(rows: DataFrame, key: str, ridge: float, level_rows: int) -> float:
