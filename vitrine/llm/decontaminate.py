@@ -17,12 +17,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import SHINGLE_WORDS, SIMILARITY_PERCENT, texts, words
 
 LOADS = (0.5, 1.0, 2.0, 4.0, 8.0)
 MISS = 1e-6
 #: Item minima are broadcast up to this many rows (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Candidate items that are checked against a document at once.
+LIST_ITEMS = 256
 
 
 def least_size(load: float, percent: int, miss: float) -> int:
@@ -93,10 +96,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILARIT
     sent = signed.select(key, F.explode_outer(F.transform("h", lambda x, i: F.struct(x.alias("h"), depth(x, i).alias("depth")))).alias("m")).select(key, "m.*")
     right = wanted.select(item, F.col("h"), "part")
     right = F.broadcast(right) if rows <= BROADCAST_ROWS else right
-    pairs = sent.where("depth >= 0").join(right, "h").where("depth >= part").select(key, item).distinct()
+    pairs = cut(sent.where("depth >= 0").join(right, "h").where("depth >= part").select(key, item).distinct())
 
-    full = pairs.join(items.select(item, "s", "n_item"), item)
-    full = full.groupBy(key).agg(F.collect_list(F.struct(item, "s", "n_item")).alias("_items"))
+    # A document's candidates are checked in lists of some LIST_ITEMS, however many it has.
+    lists = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / LIST_ITEMS).alias("_lists"))
+    full = pairs.join(lists, key).withColumn("_list", F.pmod(F.xxhash64(item), F.col("_lists"))).join(items.select(item, "s", "n_item"), item)
+    full = full.groupBy(key, "_list").agg(F.collect_list(F.struct(item, "s", "n_item")).alias("_items"))
     held = _strings(src.join(full, key).select(key, "_items", words(F.col("text")).alias("w")), k)
     held = held.select(key, F.explode("_items").alias("i"), "s")
     held = held.select(key, f"i.{item}", "i.n_item", F.size(F.array_intersect("i.s", "s")).alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
