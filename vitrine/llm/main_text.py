@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -113,6 +114,7 @@ def lines(page: str) -> list[tuple[str, int, str]]:
     kinds = {"article": 0, "main": 0}
     parts: list[tuple[str, bool]] = []  # the open containers that a class or id names as a part
     depths: list[int] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where each tag is open on the stack
 
     def flush() -> None:
         text = " ".join("".join(texts).split())
@@ -133,17 +135,16 @@ def lines(page: str) -> list[tuple[str, int, str]]:
             links -= tag == "a"
             if tag in kinds:
                 kinds[tag] -= 1
+            places[tag].pop()
         del stack[depth:]
         if skip and depth < skip:
             skip = 0
 
     def find(tags: tuple[str, ...], stop: frozenset) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i] in tags:
-                return i
-            if stack[i] in stop:
-                return -1
-        return -1
+        """Where the innermost of ``tags`` is open, unless one of ``stop`` is open inside it; -1 if nowhere."""
+        last = lambda names: max((places[t][-1] for t in names if places.get(t)), default=-1)
+        at = last(tags)
+        return at if at >= 0 and at >= last(stop) else -1
 
     def characters(raw: str) -> None:
         if raw and not skip:
@@ -190,6 +191,7 @@ def lines(page: str) -> list[tuple[str, int, str]]:
                 pop_to(i)
         if tag in VOID or attributes.rstrip().endswith("/") and not block:
             continue
+        places[tag].append(len(stack))
         stack.append(tag)
         links += tag == "a"
         if tag in kinds:
