@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 NO_PAGE = -(1 << 63)
 CRLF = "\r\n"
+# Fixed value: the profile of a revisit by equal payload digests.
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EMPTY_TIME = "1970-01-01T00:00:00Z"
 
 
@@ -30,7 +32,7 @@ def _header(kind: Column, page: Column, url: Column, sha1: Column, refers: Colum
     return F.concat(
         F.lit("WARC/1.1" + CRLF), line("WARC-Type", kind), line("WARC-Record-ID", urn(page)), line("WARC-Target-URI", uri),
         line("WARC-Date", F.lit(EMPTY_TIME)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
-        F.when(kind == "revisit", line("WARC-Refers-To", urn(refers))).otherwise(F.lit("")),
+        F.when(kind == "revisit", F.concat(line("WARC-Profile", F.lit(REVISIT_PROFILE)), line("WARC-Refers-To", urn(refers)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(kind == "revisit", F.lit("0")).otherwise(size.cast("string"))), F.lit(CRLF),
     ).cast("binary")
