@@ -37,22 +37,32 @@ def rotation(dim: int, bits: int, seed: int = 7) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """key and ``v``: no null key, no null or non-finite component, not zero."""
+    """key and ``v``: no null key, no null or non-finite component, not zero.
+
+    Of rows that repeat a key the one with the smallest vector, component by component, counts.
+    """
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), v.alias("v")).where(fine)
+    return vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), v.alias("v")).where(fine).groupBy(key).agg(F.min("v").alias("v"))
+
+
+def build_all(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", bits_per_dim: int = BITS_PER_DIM) -> list[tuple[DataFrame, np.ndarray, int]]:
+    """An index per length of vectors, the shortest first; vectors of different lengths have no distance."""
+    fine = cut(usable(vectors, key, vector))
+    sizes = sorted(r["d"] for r in fine.select(F.size("v").alias("d")).distinct().collect())
+    return [_index(fine.where(F.size("v") == d), d, key, bits_per_dim) for d in sizes or [1]]
 
 
 def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", bits_per_dim: int = BITS_PER_DIM) -> tuple[DataFrame, np.ndarray, int]:
+    """The index of the vectors of the most frequent length, of equal ones the shortest."""
+    return max(build_all(vectors, key, vector, bits_per_dim), key=lambda index: index[0].count())
+
+
+def _index(fine: DataFrame, dim: int, key: str, bits_per_dim: int) -> tuple[DataFrame, np.ndarray, int]:
     """The written index (key, v, code, length, correction), the centre, and the number of bits.
 
-    Every usable vector is indexed. Vectors of another length than the most frequent one
-    take no part. The centre is the mean over all vectors.
+    Every vector is indexed. The centre is the mean over all of them.
     """
-    fine = usable(vectors, key, vector)
-    sizes = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = sizes["d"] if sizes else 1
-    fine = fine.where(F.size("v") == dim)
     mean = fine.agg(F.array(*(F.coalesce(F.avg(F.col("v")[i]), F.lit(0.0)) for i in range(dim))).alias("c")).first()
     centre = np.array(mean["c"])
     bits = -(-dim * bits_per_dim // 64) * 64
@@ -78,10 +88,9 @@ def search(index: DataFrame, queries: DataFrame, centre: np.ndarray, bits: int,
     """query_id, rank, the key and score (Euclidean distance) of each query's k nearest rows.
 
     ``queries`` are rows of the index. A query's own id is no candidate; equal distances go
-    to the smaller id. Rows that repeat an id count once.
+    to the smaller id.
     """
     turn = rotation(len(centre), bits)
-    index, queries = index.dropDuplicates([key]), queries.dropDuplicates([key])
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, asked = index.count(), queries.count()
     nq = max(1, -(-asked // query_block))

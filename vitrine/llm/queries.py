@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +45,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, centre, bits = bit_codes.build(table(spark, sf_dir, "embeddings"))
-    return bit_codes.search(index, index.where("vec_id % 100 = 0"), centre, bits)
+    found = [
+        bit_codes.search(index, index.where("vec_id % 100 = 0"), centre, bits)
+        for index, centre, bits in bit_codes.build_all(table(spark, sf_dir, "embeddings"))
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 
