@@ -200,6 +200,19 @@ def test_contaminated_against_sets(spark, docs, empty, corpus):
     assert decontaminate.contaminated(docs, empty.selectExpr("doc_id as item_id", "text")).count() == 0
 
 
+def test_many_items_of_one_document_in_short_lists(spark, monkeypatch):
+    """Hundreds of items from one template that a document holds, checked a few at a time."""
+    monkeypatch.setattr(decontaminate, "LIST_ITEMS", 7)
+    rng = random.Random(31)
+    template = sentence(rng, 8)
+    items = [(i, f"{template} {word(rng)}{i}") for i in range(200)]
+    text = " ".join(t for _, t in items[:120]) + " " + sentence(rng, 50)
+    docs = spark.createDataFrame([(1, text), (2, template), (3, sentence(rng, 30))], "doc_id long, text string")
+    out = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(d, i): len(shingles(t) & shingles(x)) for d, x in ((1, text), (2, template)) for i, t in items if 100 * len(shingles(t) & shingles(x)) >= 75 * len(shingles(t))}
+    assert {(r.doc_id, r.item_id): r.n_shared for r in out} == want and len(want) > 200
+
+
 def test_language_model_against_counts(docs, empty, corpus):
     out = interpolated_lm.score(docs).toPandas()
     assert len(out) == docs.count()
@@ -273,6 +286,17 @@ def test_main_text(spark, empty):
     assert main_text.extract(df.limit(0)).count() == 0
 
 
+def test_unmatched_end_tags_take_linear_time():
+    import time
+
+    for page in ("<span>" * 100_000 + "</b>" * 100_000, "<b><div>" + "<span>" * 50_000 + "</b>" * 50_000, "<p>" * 50_000 + "</i>" * 50_000):
+        start = time.process_time()
+        main_text.main_text(page + "<p>" + "long text at the end of it all " * 5)
+        assert time.process_time() - start < 2
+    # The innermost open tag is closed, unless a container is open inside it.
+    assert [t for t, *_ in main_text.lines("<b>one<div>two</b>three</div></b>four") if t] == ["one", "twothree", "four"]
+
+
 def test_archive_round_trip(spark):
     rows = [(1, "u\r\nX: y", "same"), (2, "u", "same"), (5, "u", "same"), (3, "u", ""), (4, "u", None), (6, "u", "é" * 10_000), (None, None, "lone"), (7, "u", "one"), (7, "u", "one")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -288,6 +312,7 @@ def test_archive_round_trip(spark):
         assert r.refers_to == (None if r.record_type == "response" else top[text])
         assert r.payload_bytes == len(r.payload) and bytes(r.record).endswith((bytes(r.payload) if r.record_type == "response" else b"") + b"\r\n\r\n")
         assert b"\r\nX: y" not in bytes(r.record)
+        assert (b"\r\nWARC-Profile: http://netpreserve.org/" in bytes(r.record)) == (r.record_type == "revisit")
     path = scratch_path(spark, "warc")
     warc.write(df, path, min_bytes=10**6)
     assert warc.read(spark, path).where("record_type = 'revisit'").count() == 0
@@ -309,5 +334,15 @@ def test_nearest_vectors_against_distances(spark):
         hit += len(set(want) & set(g.vec_id))
         assert list(g["rank"]) == list(range(1, 11)) and np.allclose(g.score, d[g.vec_id])
     assert out.query_id.nunique() == 70 and hit >= 0.98 * 700
+    # An index per length; of a repeated id the smaller vector counts.
+    mixed = [(i, [float(x) for x in rng.standard_normal(3 if i % 4 else 5)]) for i in range(60)]
+    mixed += [(7, [9.0, 9.0, 9.0]), (7, [-9.0, 9.0, 9.0])]
+    found = [bit_codes.search(x, x, c, b).toPandas() for x, c, b in bit_codes.build_all(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"))]
+    vectors = dict(mixed) | {7: min(v for i, v in mixed if i == 7)}
+    assert len(found) == 2 and sum(f.query_id.nunique() for f in found) == 60
+    for f in found:
+        for r in f.itertuples():
+            a, b = np.array(vectors[r.query_id]), np.array(vectors[r.vec_id])
+            assert len(a) == len(b) and abs(np.linalg.norm(a - b) - r.score) < 1e-12
     none, centre, bits = bit_codes.build(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert bit_codes.search(none, none, centre, bits).count() == 0
