@@ -9,7 +9,8 @@ each on evidence of its own:
 * gazetteer: endings of domains, calling codes, card issuers, IBAN countries, key prefixes,
   reserved addresses;
 * left and right: words before and after the span;
-* variety: whether its characters vary as in a real one (not 0000000 or 12345678).
+* variety: whether its characters vary too little for a real one (0000000, 12345678); it only
+  votes no, since a checksum varies as much as a key.
 
 None of them knows whether a span is a base span. Expectation-maximisation over the counts of vote
 patterns (at most 3^5 per kind, whatever the size of the corpus) estimates each labeler's
@@ -38,7 +39,9 @@ LABELERS = ("check", "gazetteer", "left", "right", "variety")
 FEATURES = {"size": 8, "upper": 2, "distinct": 4, "parts": 4, "before": 4, "after": 3}
 #: A candidate that is no base span is added from this probability on.
 ADD_FROM = 0.9
-LEFT_CHARS, RIGHT_CHARS = 32, 16
+LEFT_CHARS, CLOSE_CHARS, RIGHT_CHARS = 32, 14, 16
+#: Bounds of a labeler's reliability, and of the share of true candidates of a kind.
+RELIABILITY, SHARE = (0.7, 0.99), (0.1, 0.9)
 #: Distinct patterns of votes and features that the classifier is fitted on: the most frequent ones.
 TRAIN_PATTERNS = 100_000
 
@@ -85,15 +88,15 @@ IBAN_CHARS = {
 }
 KEY_PREFIX = r"^(?:AKIA|sk[-_]|pk[-_]|rk[-_]|gh[pos][-_]|glpat[-_]|xox[abprs][-_])|^(?i:passw|passphrase|contrase)"
 YES_LEFT = (
-    r"mail|phone|\btel\b|tel[.:]|mobile|mobil|cell|\bcall|\bfax|card|visa|kredit|carte|tarjeta|\bhost|\bip\b|address|adresse|token|secret|password|passwd|passwort|api.?key|credential|contact|kontakt"
-    r"|t.l.phone|tel.fono|telefon|iban|account|konto|compte|cuenta|\bssn\b|social security|insurance"
+    r"\b(?:e-?)?mail|phone|\btel\b|tel[.:]|\bmobil|\bcell\b|\bcall|\bfax\b|\b(?:credit )?card\b|\bvisa\b|kreditkarte|\bcarte\b|tarjeta|\bhost\b|\bip\b|\baddress|\badresse|\btoken|secret|password|passwd"
+    r"|passwort|api.?key|credential|\bcontact|\bkontakt|t.l.phone|tel.fono|telefon|\biban\b|\baccount\b|\bkonto|\bcompte\b|\bcuenta\b|\bssn\b|social security|\binsurance\b"
 )
 NO_LEFT = (
-    r"version|\bv\.|isbn|issn|\bdoi\b|order|invoice|\bpage|figure|section|\bsha|md5|commit|checksum|digest|hash|etag|build|revision|serial|licen[sc]e|lizenz|\bpart\b|\bsku\b|ticket|tracking|rechnung"
-    r"|bestell|facture|commande|factura|pedido|example|beispiel|\bdate\b|datum"
+    r"\bversion|\bv\.|\bisbn\b|\bissn\b|\bdoi\b|\border\b|\binvoice|\bpages?\b|\bfigure\b|\bsection\b|\bsha-?[0-9]|\bsha\b|\bmd5\b|\bcommit\b|checksum|\bdigest\b|\bhash\b|\betag\b|\bbuild\b|\brevision\b"
+    r"|\bserial\b|\blicen[sc]e|\blizenz|\bpart\b|\bsku\b|\bticket\b|\btracking\b|\brechnung|\bbestell|\bfacture\b|\bcommande\b|\bfactura\b|\bpedido\b|\bexample\b|\bbeispiel\b|\bdate\b|\bdatum\b"
 )
 YES_RIGHT = r"^[^A-Za-z0-9]{0,3}(?:is my|ist mein|\(?(?:mobile|home|office|work|cell|direct|privat|mobil)\b|ext\b|extension)"
-NO_RIGHT = r"^[^A-Za-z0-9]{0,2}(?:%|km\b|kg\b|mm\b|cm\b|[kmgt]b\b|usd\b|eur\b|euro|dollar|years?\b|pages?\b|bytes?\b|items?\b|revision|checksum|sha|md5|commit|\.(?:tar|zip|gz|jpe?g|png|pdf)\b)"
+NO_RIGHT = r"^[^A-Za-z0-9]{0,2}(?:%|km\b|kg\b|mm\b|cm\b|[kmgt]b\b|usd\b|eur\b|euros?\b|dollars?\b|years?\b|pages?\b|bytes?\b|items?\b|revision\b|checksum\b|sha(?:-?[0-9]|\b)|md5\b|commit\b|\.(?:tar|zip|gz|jpe?g|png|pdf)\b)"
 RUN_OF_DIGITS = r"0123456|1234567|2345678|3456789|9876543|8765432|7654321"
 SPAN = "array<struct<kind:string,s:int,e:int,m:string,l:string,r:string>>"
 
@@ -191,10 +194,11 @@ def _votes(x: Column) -> dict[str, Column]:
     # How many different characters a span has, and whether they run up or down.
     kinds_of = F.size(F.array_distinct(F.split(F.lower(F.regexp_replace(m, "[^A-Za-z0-9]", "")), "")))
     runs = digits.rlike(RUN_OF_DIGITS) | digits.rlike(r"([0-9])\1{6}")
-    variety = by_kind(
-        card=_vote(never, runs | (kinds_of <= 4)), phone=_vote(never, runs | (kinds_of <= 3)), ssn=_vote(never, runs | (kinds_of <= 3)), iban=_vote(kinds_of >= 5, kinds_of <= 4),
-        secret=F.when(m.rlike(r"^(?i:passw|passphrase|contrase)"), 0).otherwise(_vote((kinds_of >= 10) & ~runs, runs | (kinds_of <= 8))))
-    return {"check": check, "gazetteer": gazetteer, "left": _vote(left.rlike(YES_LEFT), left.rlike(NO_LEFT)), "right": _vote(right.rlike(YES_RIGHT), right.rlike(NO_RIGHT)), "variety": variety}
+    few = {"card": 4, "phone": 3, "ssn": 3, "iban": 4, "secret": 8}
+    variety = by_kind(**{name: _vote(never, ((kinds_of <= most) | runs) & ~m.rlike(r"^(?i:passw|passphrase|contrase)")) for name, most in few.items()})
+    # The nearest words count first.
+    close = let(F.right(left, F.lit(CLOSE_CHARS)), lambda c: _vote(c.rlike(YES_LEFT), c.rlike(NO_LEFT)))
+    return {"check": check, "gazetteer": gazetteer, "left": F.when(close != 0, close).otherwise(_vote(left.rlike(YES_LEFT), left.rlike(NO_LEFT))), "right": _vote(right.rlike(YES_RIGHT), right.rlike(NO_RIGHT)), "variety": variety}
 
 
 def _features(x: Column) -> dict[str, Column]:
@@ -239,26 +243,32 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> tuple[dict, dict]:
-    """EM over (kind, votes, count): the posterior of each pattern, and P(vote | truth) by kind and labeler.
+    """EM over (kind, votes, count): the posterior of each pattern, and P(yes | true) and P(no | false) by kind and labeler.
 
-    Before anything is seen a labeler is taken to be right more often than wrong; that belief
-    weighs a fiftieth of the candidates, and the share of true ones stays between 5 and 95 %, so a
-    kind whose candidates all agree does not turn a vote against it into noise.
+    A labeler that does not vote says nothing either way. Most candidates have one or two votes, which
+    alone cannot tell a reliable labeler from its opposite; so each is held to be right between 70 and
+    99 times of a hundred on either side, and the share of true candidates of a kind between 10 and
+    90 %. Before anything is seen a labeler is taken to be right four times of five; that belief
+    weighs a fiftieth of the candidates.
     """
     posterior, tables = {}, {}
     for kind in {p[0] for p in patterns}:
         own = [p for p in patterns if p[0] == kind]
         votes, counts = np.array([p[1] for p in own]), np.array([p[2] for p in own], dtype=float)
-        belief = (counts.sum() / 50 + 1) * np.array([[1.0, 4.0], [2.0, 2.0], [4.0, 1.0]]) / 7  # rows: no, nothing, yes; columns: true, false
+        weight = counts.sum() / 50 + 1
         q = np.clip(0.5 + 0.2 * votes.sum(axis=1), 0.05, 0.95)  # start from the majority
         for _ in range(rounds):
-            prior = np.clip(counts @ q / counts.sum(), 0.05, 0.95)
-            table = np.stack([
-                belief + np.array([[counts @ ((votes[:, j] == v) * q), counts @ ((votes[:, j] == v) * (1 - q))] for v in (-1, 0, 1)]) for j in range(votes.shape[1])])
-            table /= table.sum(axis=1, keepdims=True)
-            log = np.log(prior) - np.log(1 - prior) + sum(np.log(table[j, votes[:, j] + 1, 0] / table[j, votes[:, j] + 1, 1]) for j in range(votes.shape[1]))
+            prior = np.clip(counts @ q / counts.sum(), *SHARE)
+            log = np.log(prior / (1 - prior)) * np.ones(len(own))
+            right = np.empty((votes.shape[1], 2))  # P(yes | true), P(no | false)
+            for j in range(votes.shape[1]):
+                yes, no = votes[:, j] == 1, votes[:, j] == -1
+                for side, (hit, miss, p) in enumerate(((yes, no, q), (no, yes, 1 - q))):
+                    good, bad = counts @ (hit * p) + 0.8 * weight, counts @ (miss * p) + 0.2 * weight
+                    right[j, side] = np.clip(good / (good + bad), *RELIABILITY)
+                log += yes * np.log(right[j, 0] / (1 - right[j, 1])) + no * np.log((1 - right[j, 0]) / right[j, 1])
             q = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-        tables[kind] = table
+        tables[kind] = right
         posterior |= {(kind, p[1]): float(x) for p, x in zip(own, q, strict=True)}
     return posterior, tables
 
@@ -276,6 +286,8 @@ def fit(found: DataFrame, most: int = TRAIN_PATTERNS) -> np.ndarray:
     """
     seen = found.select(F.explode("found").alias("x")).select("x.kind", "x.v.*").groupBy("kind", *LABELERS, *FEATURES).count()
     cells = _cells()
+    # A candidate that no labeler votes on teaches nothing; the classifier still judges it.
+    seen = seen.where(" OR ".join(f"{n} <> 0" for n in LABELERS))
     votes = seen.groupBy("kind", *LABELERS).agg(F.sum("count").alias("count")).collect()
     if not votes:
         return np.zeros(1 + len(cells))
