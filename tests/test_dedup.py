@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import hamming
-from vitrine.operators import cell_tree, cells, dedup, phash, similarity
+from vitrine.operators import cell_tree, cells, dedup, phash, radius, similarity
 
 
 def frame(spark, vectors, key="qid"):
@@ -305,3 +305,57 @@ def test_quantised_recall_over_the_tree(spark):
 
 def test_cell_numbers_have_no_cap():
     assert cells.cell_count(10**12) == 10**6 and cells.cell_count(10**4, quantised=True) == 100 and cells.cell_count(390, quantised=True) == 10 and cells.cell_count(3, True) == 1
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_hashes_that_share_keys_but_are_not_near(spark, monkeypatch, block):
+    """All digits but a few are common, so first and second keys are shared by all; pairs stay in blocks."""
+    whole = phash.band_keys
+    monkeypatch.setattr(phash, "band_keys", lambda df, t=8: whole(df, t, 8))
+    rng = np.random.default_rng(21)
+    rows = [(i, [int(rng.integers(0, 2**12)), 0, 0, int(rng.integers(0, 2**10))]) for i in range(150)]
+    df = spark.createDataFrame(rows, "row long, hash array<bigint>")
+    want, kept, dup = {}, [], {}
+    for i, h in rows:
+        near = [j for j, g in rows[:i] if distance(h, g) <= 8]
+        if near:
+            want[i] = (near[0], distance(h, rows[near[0]][1]))
+        hit = next((j for j, g in kept if distance(h, g) <= 8), None)
+        if hit is None:
+            kept.append((i, h))
+        else:
+            dup[i] = hit
+    assert len(kept) > 5
+    assert {r["row"]: (r["match_row"], r["distance"]) for r in phash.first_neighbour(df, limit=block).collect()} == want
+    assert {r["row"]: r["match_row"] for r in phash.cover_duplicates(df, limit=block).collect()} == dup
+    keyed, hot = phash._marked(phash.band_keys(phash.distinct_hashes(df)), 16)
+    assert hot and keyed.where("hot").groupBy("key").count().agg(F.max("count")).first()[0] > 100
+    once = phash._earlier(keyed, keyed, "row", 8, True, 16)
+    # A row leaves a hot key once per block, not once per pair.
+    assert once.count() <= keyed.where("hot").count() * 12 + phash._earlier(keyed.where("NOT hot"), keyed.where("NOT hot"), "row", 8).count()
+
+
+def test_cells_with_a_radius_lose_no_match(spark):
+    v = np.vstack([clustered(500, 25, noise=0.03), clustered(60, 60, seed=9), [np.zeros(16), np.full(16, 0.5)]])
+    items, queries = frame(spark, enumerate(v), "id"), frame(spark, enumerate(v))
+    balls = radius.build(queries, items, 0.85, 90)
+    want = {r["qid"] for r in similarity.with_match(queries, items, 0.85).collect()}
+    got = {r["qid"] for r in similarity.with_match(balls.visits, balls.items, 0.85, 64, "cell").collect()}
+    assert got == want and len(want) > 400
+    # Fewer comparisons than all, and fewer blocks of 16 by 16.
+    assert balls.pays and balls.compared < 0.4 * balls.every == 0.4 * len(v) ** 2
+    sizes = lambda df: {r["cell"]: -(-r["count"] // 16) for r in df.groupBy("cell").count().collect()}
+    asked, held = sizes(balls.visits), sizes(balls.items)
+    assert sum(asked[c] * held.get(c, 0) for c in asked) < 0.5 * (-(-len(v) // 16)) ** 2
+    # Every pair from the limit on is compared: its query visits the cell of its item.
+    sims = np.round(v @ v.T, 9)
+    cell = {r["id"]: r["cell"] for r in balls.items.collect()}
+    visits = {(r["qid"], r["cell"]) for r in balls.visits.collect()}
+    assert all((int(a), cell[int(b)]) in visits for a, b in zip(*np.nonzero(sims >= 0.85)))
+
+
+def test_vectors_without_neighbours_are_compared_in_plain_blocks(spark):
+    v = np.random.default_rng(3).normal(size=(300, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert not radius.build(frame(spark, enumerate(v)), frame(spark, enumerate(v), "id"), 0.85).pays
+    assert radius.build(frame(spark, enumerate(v)).limit(0), frame(spark, enumerate(v), "id").limit(0), 0.85).every == 0

@@ -53,7 +53,9 @@ def train_cells(
     ``per_cell`` rows per cell; every row is placed in a cell afterwards."""
     n = items.count()
     k = cells or cell_count(n)
-    train = _drawn(items, k * per_cell, n).select(array_to_vector(as_double(F.col("v"))).alias("features"))
+    # A zero vector has no direction to learn from; it is placed like any other.
+    drawn = _drawn(items, k * per_cell, n).where(F.exists("v", lambda x: x != 0))
+    train = drawn.select(array_to_vector(as_double(F.col("v"))).alias("features"))
     if k > 1:
         model = KMeans(k=k, seed=seed, maxIter=iterations, distanceMeasure="cosine", initMode="random").fit(train)
         centres = np.asarray(model.clusterCenters())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions import vectors as V
 from ..session import cut
+from . import radius
 from .leaders import greedy_leaders
 from .ordering import top_per_key
 from .similarity import top_k, with_match
@@ -103,6 +104,28 @@ def scan_folders(products: DataFrame, product_vecs: DataFrame, decided: DataFram
     )
 
 
+def _matcher(vectors: DataFrame, floor: float, block_rows: int):
+    """A function of two parts of (qid, v): ids of the first with an earlier match in the second.
+
+    More vectors than a block are laid out in cells with radii once, and parts then meet only in
+    cells that may hold a match; where that would leave out too little, all blocks meet.
+    """
+    as_items = lambda df: df.select(F.col("qid").alias("id"), "v")
+    balls = None
+    if vectors.count() > block_rows:
+        vectors = cut(vectors)
+        balls = radius.build(vectors, as_items(vectors), floor)
+    if balls is None or not balls.pays:
+        return lambda rest, others: with_match(rest.select("qid", "v"), as_items(others), floor, block_rows)
+
+    def matched(rest: DataFrame, others: DataFrame) -> DataFrame:
+        asking = balls.visits.join(rest.select("qid"), "qid", "left_semi")
+        asked = balls.items.join(others.select(F.col("qid").alias("id")), "id", "left_semi")
+        return with_match(asking, asked, floor, block_rows, "cell")
+
+    return matched
+
+
 def batch_scan(
     candidates: DataFrame, registry: DataFrame, k: int = S.SEARCH_K,
     duplicate: float = S.DUPLICATE_THRESHOLD, review: float = S.REVIEW_THRESHOLD,
@@ -122,14 +145,8 @@ def batch_scan(
     open_ = candidates.join(taken, "qid", "left_anti").select("qid", "v")
     distinct = open_.groupBy("v").agg(F.min("qid").alias("qid")).select("qid", "v")
     as_items = lambda df: df.select(F.col("qid").alias("id"), "v")
-    new_items = cut(
-        greedy_leaders(
-            distinct,
-            "qid",
-            lambda rest: with_match(rest, as_items(rest), review, block_rows),
-            lambda rest, kept: with_match(rest, as_items(kept), review, block_rows),
-        )
-    )
+    matched = _matcher(distinct, review, block_rows)
+    new_items = cut(greedy_leaders(distinct, "qid", lambda rest: matched(rest, rest), matched))
     batch = top_k(candidates.select("qid", "v"), as_items(new_items), k, earlier_only=True, block_rows=block_rows)
     both = known.drop("rank").unionByName(
         batch.select("qid", (F.lit(-1) - F.col("id")).alias("id"), "sim")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.vectors import hamming
 from ..session import cut
+from .blocks import block_pairs, ints, list_column, matrix
 from .leaders import greedy_leaders
 
 DIGITS = S.PHASH_BITS // 4
@@ -89,26 +92,58 @@ def _heads(keyed: DataFrame, row: str, threshold: int) -> DataFrame:
     )
 
 
-def _earlier(rest: DataFrame, others: DataFrame, row: str, threshold: int) -> DataFrame:
-    a = rest.select(F.col(row).alias("_row"), F.col("hash").alias("_h"), "key")
-    b = others.select(F.col(row).alias("_o"), F.col("hash").alias("_oh"), "key")
-    near = (F.col("_o") < F.col("_row")) & (hamming(F.col("_h"), F.col("_oh")) <= threshold)
-    return a.join(b, "key").where(near)
+def _marked(keyed: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """``keyed`` with ``hot`` (its key is shared by more than ``limit`` hashes), and whether any is."""
+    large = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("key", F.lit(True).alias("hot")))
+    if large.isEmpty():
+        return keyed.withColumn("hot", F.lit(False)), False
+    return cut(keyed.join(large, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))), True
 
 
-def first_neighbour(hashes: DataFrame, row: str = "row", threshold: int = S.PHASH_THRESHOLD) -> DataFrame:
+def _earlier(rest: DataFrame, others: DataFrame, row: str, threshold: int, any_hot: bool = False, limit: int = S.BLOCK_ROWS) -> DataFrame:
+    """(_row, _h, _o, _oh): earlier near hashes that share a key. Of a hot key only the first one
+    per row and block: its members meet block by block, and no pairs leave a task."""
+    a = rest.select(F.col(row).alias("_row"), F.col("hash").alias("_h"), "key", "hot")
+    b = others.select(F.col(row).alias("_o"), F.col("hash").alias("_oh"), "key", "hot")
+    near = (F.col("_o") < F.col("_row")) & (hamming(F.col("_h"), F.col("_oh")) <= threshold)
+    found = a.where("NOT hot").drop("hot").join(b.where("NOT hot").drop("hot"), "key").where(near).select("_row", "_h", "_o", "_oh")
+    if not any_hot:
+        return found
+
+    def first(x: pa.Table, y: pa.Table) -> pa.Table:
+        rows, others_ = ints(x["_row"]), ints(y["_o"])
+        if not len(rows) or not len(others_):
+            return pa.table({"_row": pa.array([], pa.int64()), "_h": pa.array([], pa.list_(pa.int64())), "_o": pa.array([], pa.int64()), "_oh": pa.array([], pa.list_(pa.int64()))})
+        h, oh = matrix(x["_h"], np.int64), matrix(y["_oh"], np.int64)
+        order = np.argsort(others_, kind="stable")
+        best = np.full(len(rows), -1)
+        for start in range(0, len(rows), 256):
+            part = slice(start, start + 256)
+            bits = sum(np.bitwise_count(h[part, w, None] ^ oh[None, order, w]).astype(np.int16) for w in range(h.shape[1]))
+            fit = (bits <= threshold) & (others_[order][None, :] < rows[part, None])
+            best[part] = np.where(fit.any(axis=1), fit.argmax(axis=1), -1)
+        hit = np.flatnonzero(best >= 0)
+        to = order[best[hit]]
+        return pa.table({"_row": rows[hit], "_h": list_column(h[hit], pa.int64()), "_o": others_[to], "_oh": list_column(oh[to], pa.int64())})
+
+    hot = block_pairs(a.where("hot").drop("hot"), b.where("hot").drop("hot"), first, "_row long, _h array<bigint>, _o long, _oh array<bigint>", "_row", "_o", "key", limit)
+    return found.select(F.col("_row").cast("long").alias("_row"), "_h", F.col("_o").cast("long").alias("_o"), "_oh").unionByName(hot)
+
+
+def first_neighbour(hashes: DataFrame, row: str = "row", threshold: int = S.PHASH_THRESHOLD, limit: int = S.BLOCK_ROWS) -> DataFrame:
     """For every row with an earlier row within ``threshold`` bits: the first such row.
 
     Rows of one hash are joined as one, so a mass of copies adds a single hash to the
     band join; its later rows point at its first one or at an even earlier neighbour.
-    Within a key only rows that do not match its head are compared with the others.
+    Within a key only rows that do not match its head are compared with the others; keys
+    that still hold more than ``limit`` hashes are compared in blocks.
     """
     once = distinct_hashes(hashes, row)
-    keyed = cut(band_keys(once, threshold))
+    keyed, any_hot = _marked(cut(band_keys(once, threshold)), limit)
     by_head = cut(_heads(keyed, row, threshold))
     others = keyed.join(by_head.select(row, "key"), [row, "key"], "left_anti")
     found = by_head.select(F.col("hash").alias("_h"), "_o", "_oh").unionByName(
-        _earlier(others, keyed, row, threshold).select("_h", "_o", "_oh")
+        _earlier(others, keyed, row, threshold, any_hot, limit).select("_h", "_o", "_oh")
     )
     near = (
         found.groupBy("_h")
@@ -129,7 +164,7 @@ def first_neighbour(hashes: DataFrame, row: str = "row", threshold: int = S.PHAS
     )
 
 
-def cover_duplicates(hashes: DataFrame, row: str = "row", threshold: int = S.PHASH_THRESHOLD) -> DataFrame:
+def cover_duplicates(hashes: DataFrame, row: str = "row", threshold: int = S.PHASH_THRESHOLD, limit: int = S.BLOCK_ROWS) -> DataFrame:
     """(row, match_row) of covers within ``threshold`` bits of an earlier kept cover.
 
     ``match_row`` is the first kept row that matches. Copies of a hash are never kept, so
@@ -137,9 +172,9 @@ def cover_duplicates(hashes: DataFrame, row: str = "row", threshold: int = S.PHA
     to have an earlier match before any pairs are looked at.
     """
     once = distinct_hashes(hashes, row)
-    keyed = cut(band_keys(once, threshold))
-    with_keys = lambda df: df.join(keyed.select(row, "key"), row)
-    pairs = lambda a, b: _earlier(a, b, row, threshold).select(F.col("_row").alias(row))
+    keyed, any_hot = _marked(cut(band_keys(once, threshold)), limit)
+    with_keys = lambda df: df.join(keyed.select(row, "key", "hot"), row)
+    pairs = lambda a, b: _earlier(a, b, row, threshold, any_hot, limit).select(F.col("_row").alias(row))
 
     def earlier_match(rest: DataFrame) -> DataFrame:
         k = with_keys(rest)
@@ -148,7 +183,7 @@ def cover_duplicates(hashes: DataFrame, row: str = "row", threshold: int = S.PHA
 
     kept = cut(greedy_leaders(once, row, earlier_match, lambda rest, fresh: pairs(with_keys(rest), with_keys(fresh))))
     # A kept hash matches its own later copies; any other hash its first kept neighbour.
-    near = _earlier(keyed, with_keys(kept), row, threshold).groupBy("_h").agg(F.min("_o").alias("_m"))
+    near = _earlier(keyed, with_keys(kept), row, threshold, any_hot, limit).groupBy("_h").agg(F.min("_o").alias("_m"))
     target = (
         once.join(kept.select(F.col(row).alias("_k")), F.col(row) == F.col("_k"), "left")
         .join(near, F.col("hash") == F.col("_h"), "left")

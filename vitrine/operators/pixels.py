@@ -66,16 +66,16 @@ def hsv_counts(bgr: np.ndarray) -> np.ndarray:
     return np.bincount(bins[front], minlength=hb * sb * vb)
 
 
-def hsv_histograms(images: DataFrame, key: str = "origin") -> DataFrame:
-    """Unit colour histogram per image; a corrupt image has the zero vector."""
-    dim = int(np.prod(S.HSV_BINS))
+def _unit_hsv(px: np.ndarray | None) -> list[float]:
+    """Unit colour histogram; zeros for a corrupt image."""
+    counts = np.zeros(int(np.prod(S.HSV_BINS))) if px is None else hsv_counts(px).astype(np.float64)
+    n = np.linalg.norm(counts)
+    return (counts / n if n > 0 else counts).tolist()
 
-    def one(px):
-        counts = np.zeros(dim) if px is None else hsv_counts(px).astype(np.float64)
-        n = np.linalg.norm(counts)
-        return ((counts / n if n > 0 else counts).tolist(),)
 
-    return _map(images, key, one, ["hsv"], "hsv array<double>")
+def hsv_histograms(images: DataFrame, key: str = "origin") -> DataFrame:
+    """Unit colour histogram per image; a corrupt image has the zero vector."""
+    return _map(images, key, lambda px: (_unit_hsv(px),), ["hsv"], "hsv array<double>")
 
 
 def hsv_columns(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
@@ -212,6 +212,16 @@ def layout_features(px: np.ndarray, cells: int = 8) -> np.ndarray:
     return np.stack([*means, *spread, _resize(dy, cells), _resize(dx, cells)]).ravel()
 
 
+def _unit_embedding(model: Callable[[np.ndarray], np.ndarray], px: np.ndarray | None, dim: int) -> list[float]:
+    """Unit embedding; zeros for a corrupt image or one that the model fails on."""
+    try:
+        v = np.zeros(dim) if px is None else np.asarray(model(px), dtype=np.float64)
+    except (ValueError, ArithmeticError):
+        v = np.zeros(dim)
+    n = np.linalg.norm(v)
+    return (v / n if n > 0 else v).tolist()
+
+
 def embed(
     images: DataFrame, key: str = "origin", make: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None, dim: int = S.CLIP_DIM
 ) -> DataFrame:
@@ -220,23 +230,27 @@ def embed(
     ``make()`` returns a function from BGR pixels to a vector; a corrupt image, or one the
     model fails on, gets the zero vector.
     """
+    return vectors(images, key, make, dim, with_hsv=False)
+
+
+def vectors(
+    images: DataFrame, key: str = "origin", make: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None, dim: int = S.CLIP_DIM, with_hsv: bool = True
+) -> DataFrame:
+    """(key, vector, hsv): embedding and colour histogram of each image, from one pass over its pixels."""
     kind = dict(images.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make() if make else layout_features
         for b in batches:
-            rows = []
+            made: dict[str, list] = {"vector": [], "hsv": []}
             for r in zip(*(b[f] for f in FIELDS)):
                 px = _bgr(*r)
-                try:
-                    v = np.zeros(dim) if px is None else np.asarray(model(px), dtype=np.float64)
-                except (ValueError, ArithmeticError):
-                    v = np.zeros(dim)
-                n = np.linalg.norm(v)
-                rows.append((v / n if n > 0 else v).tolist())
-            yield pd.DataFrame({key: b[key].to_numpy(), "vector": rows})
+                made["vector"].append(_unit_embedding(model, px, dim))
+                if with_hsv:
+                    made["hsv"].append(_unit_hsv(px))
+            yield pd.DataFrame({key: b[key].to_numpy(), **{c: v for c, v in made.items() if v}})
 
-    return images.select(key, *FIELDS).mapInPandas(run, f"{key} {kind}, vector array<double>")
+    return images.select(key, *FIELDS).mapInPandas(run, f"{key} {kind}, vector array<double>" + (", hsv array<double>" if with_hsv else ""))
 
 
 def feature_pipeline(images: DataFrame, store: DataFrame, now: Column, key: str = "key", make=None, namespace: str = "combined"):
@@ -253,8 +267,7 @@ def feature_pipeline(images: DataFrame, store: DataFrame, now: Column, key: str
     looked = feat.lookup(wanted, store, now)
     hits = looked.where("hit").select("key", "mtime", F.col("feature").cast("array<double>").alias("feature"))
     missing = images.join(looked.where("NOT hit").select(F.col("key").alias(key)), key, "left_semi")
-    vectors = embed(missing, key, make).join(hsv_histograms(missing, key), key)
-    computed = missing.select(key, "mtime").join(vectors, key).select(
+    computed = missing.select(key, "mtime").join(vectors(missing, key, make), key).select(
         F.col(key).alias("key"), "mtime", combine(F.col("vector"), F.col("hsv")).alias("feature")
     )
     both = hits.withColumn("cached", F.lit(True)).unionByName(computed.withColumn("cached", F.lit(False)))
