@@ -35,7 +35,7 @@ TRAIN_ROWS = 20_000
 #: Levels of evidence (deviations of a log odds ratio: 32, 10, 5, 1 and 0.1 %, two-sided) that compete.
 LEVELS = (1.0, 1.645, 1.96, 2.576, 3.291)
 #: Of the fitted texts so many choose the level, in so many folds.
-LEVEL_ROWS, LEVEL_FOLDS = 3_000, 3
+LEVEL_ROWS, LEVEL_FOLDS = 2_000, 3
 #: Weight of the mean squared change of a score, which is small: a change of 0.03 costs as much as 0.9 nats.
 SWAP_PENALTY = 1_000.0
 RIDGE = 2e-5
@@ -245,18 +245,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", parts: int = 3,
                 rows.append((label, known(features_of(text)), len(swaps), [i for i, _ in named], [w for _, w in named], *([f[j] for f in flat] for j in range(3))))
             yield pd.DataFrame(rows, columns=["label", "at", "sentences", "named_of", "named", "of", "removed", "added"])
 
-    # Bounded by train_rows texts and the size of the model. Sentences are numbered within their text.
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, bias = _fit_coded(pd.concat([*batches]), size, swap_penalty, ridge)
+        used = np.flatnonzero(w)
+        yield pd.DataFrame({"at": np.append(used, -1), "weight": np.append(w[used], bias)})
+
+    # One task holds the coded texts, train_rows at most; the driver gets the model. Sentences are
+    # numbered within their text.
     fields = "label int, at array<int>, sentences int, named_of array<int>, named array<int>, of array<int>, removed array<int>, added array<int>"
-    coded = rows.mapInPandas(encode, fields).toPandas()
+    size = len(place)
+    weights = {r["at"]: r["weight"] for r in rows.mapInPandas(encode, fields).repartition(1).mapInPandas(learn, "at int, weight double").collect()}
+    return Model({t: weights[i] for t, i in place.items() if i in weights}, weights[-1])
+
+
+def _fit_coded(coded: pd.DataFrame, size: int, swap_penalty: float, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights and bias from coded texts."""
     x = Sample.of(coded["label"], coded["at"])
     start = (coded["sentences"].cumsum() - coded["sentences"]).to_numpy()
     flat = lambda c: np.concatenate([*coded[c], np.empty(0)]).astype(np.int64)
     numbered = lambda c: flat(c) + np.repeat(start, coded[c].str.len())
     sentences = Sample(np.zeros(int(coded["sentences"].sum())), flat("named"), numbered("named_of"))
     swaps = _swaps(sentences, numbered("of"), flat("removed"), flat("added"), len(coded))
-    del coded
-    w, bias = _descend(x, len(place), swaps, swap_penalty, ridge, 400)
-    return Model({t: float(w[i]) for t, i in place.items() if w[i] != 0}, bias)
+    return _descend(x, size, swaps, swap_penalty, ridge, 400)
 
 
 def _swaps(sentences: Sample, of: np.ndarray, removed: np.ndarray, added: np.ndarray, n_texts: int) -> Swaps | None:
@@ -277,9 +287,12 @@ def _level(rows: DataFrame, key: str, ridge: float, level_rows: int) -> float:
             at = [[xxhash.xxh3_64_intdigest(w) >> 1 for w in sorted(features_of(t))] for t in part["text"]]
             yield pd.DataFrame({"label": part["label"], "at": at})
 
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coded = pd.concat([*batches])
+        yield pd.DataFrame({"level": [choose_level(coded["label"].to_numpy(), [np.asarray(a, dtype=np.int64) for a in coded["at"]], ridge)]})
+
     few = rows.orderBy(F.xxhash64(F.lit(5), F.col(key)), key, F.xxhash64("text")).limit(level_rows)
-    coded = few.mapInPandas(hashed, "label int, at array<long>").toPandas()
-    return choose_level(coded["label"].to_numpy(), [np.asarray(a, dtype=np.int64) for a in coded["at"]], ridge)
+    return few.mapInPandas(hashed, "label int, at array<long>").repartition(1).mapInPandas(chosen, "level double").first()["level"]
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
