@@ -222,13 +222,13 @@ def _candidate(base: bool):
         F.struct(*[v.cast("int").alias(n) for n, v in {**_votes(x), **_features(x)}.items()]).alias("v"))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc`` (the whole row, a struct), ``id`` (its key) and ``found``: kind, s, e, base and votes of each candidate.
+def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``doc`` (the row's columns in ``keep``, all by default, as a struct), ``id`` (its key) and ``found``: kind, s, e, base and votes of each candidate.
 
     A looser candidate that touches a base span is dropped. Offsets count code points.
     """
     none = F.array().cast(SPAN)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(F.struct(*(keep or docs.columns)).alias("doc"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = F.col("t")
     spans = {}
     for kind in KINDS:
@@ -315,9 +315,9 @@ def probability(weights: np.ndarray, x: Column) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def _spans(docs: DataFrame, key: str, text: str, add_from: float) -> DataFrame:
+def _spans(docs: DataFrame, key: str, text: str, add_from: float, keep: list[str] | None = None) -> DataFrame:
     """``doc``, ``id`` and ``spans``: o (order of the kind), s, e, kind, base."""
-    found = cut(detect(docs, key, text))
+    found = cut(detect(docs, key, text, keep))
     weights = fit(found)
     chosen = F.filter("found", lambda x: x["base"] | (probability(weights, x) >= add_from))
     slim = F.transform(chosen, lambda x: F.struct(
@@ -327,7 +327,7 @@ def _spans(docs: DataFrame, key: str, text: str, add_from: float) -> DataFrame:
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", add_from: float = ADD_FROM) -> DataFrame:
     """The key and ``spans``: kind, s, e, base of all spans, by kind and start, a row per row."""
-    return _spans(docs.select(key, text), key, text, add_from).select(F.col("id").alias(key), "spans")
+    return _spans(docs, key, text, add_from, [key]).select(F.col("id").alias(key), "spans")
 
 
 def joined(spans: Column) -> Column:
