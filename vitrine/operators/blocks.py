@@ -15,6 +15,12 @@ from .. import settings as S
 SIM_DECIMALS = 9
 #: Block products are dealt over at most so many tasks per core or shuffle partition.
 TASKS_PER_CORE = 8
+#: Blocks are not cut below so many rows just to have more of them.
+FEW_ROWS = 1024
+#: Queries and items whose products a task holds at once.
+TILE_QUERIES, TILE_ITEMS = 1024, 4096
+#: From so many candidates a query and tile on, its products are made in double precision at once.
+MANY = 64
 
 
 def matrix(column: pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
@@ -64,6 +70,123 @@ def best_k(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return rows[keep], cols[keep]
 
 
+def tile_edges(n: int, width: int, first: int | None = None) -> list[tuple[int, int]]:
+    """Consecutive ranges of at most ``width`` that cover n rows; the first one of at most ``first``."""
+    out, low = [], 0
+    while low < n:
+        high = min(n, low + (first if first and low == 0 else width))
+        out.append((low, high))
+        low = high
+    return out
+
+
+def screen(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both sides in single precision, and how far a product of them may be off, per query.
+
+    Lengths that single precision cannot hold keep the vectors as they are.
+    """
+    lengths, longest = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1).max()
+    if not (np.isfinite(longest) and np.isfinite(lengths).all() and longest < 1e15 and lengths.max() < 1e15):
+        return q, v, np.zeros(len(q))
+    off = (q.shape[1] + 8) * 1.2e-7 * lengths * longest + 1e-30
+    return q.astype(np.float32), v.astype(np.float32), off
+
+
+def products(q: np.ndarray, v: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Rounded inner products of the rows ``r`` of q and ``c`` of v."""
+    return np.round(np.einsum("ij,ij->i", q[r], v[c]), SIM_DECIMALS)
+
+
+def tiled_best_k(q: np.ndarray, qid: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, earlier_only: bool = False):
+    """Row and column numbers and similarities of the k best items per query, ties to the lower id.
+
+    Products are made tile by tile. Single precision rules out what is surely below the k-th best
+    found so far, and what is left is multiplied again in double precision.
+    """
+    order, turn = np.argsort(ids, kind="stable"), np.argsort(qid, kind="stable")
+    q, qid, v, ids = q[turn], qid[turn], v[order], ids[order]
+    found: list[tuple[np.ndarray, ...]] = []
+    qs, vs, off = screen(q, v)
+    for a, b in tile_edges(len(q), TILE_QUERIES):
+        rows = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        floor = np.full(b - a, -np.inf)
+        for low, high in tile_edges(len(v), TILE_ITEMS, max(512, 4 * k)):
+            if earlier_only and ids[low] >= qid[b - 1]:
+                break
+            later = ids[None, low:high] >= qid[a:b, None] if earlier_only and ids[high - 1] >= qid[a] else None
+            s = qs[a:b] @ vs[low:high].T
+            if later is not None:
+                s[later] = -np.inf
+            bar = floor
+            if high - low > k and np.isneginf(floor).any():
+                # What reaches the tile's own k-th value, give or take the error, holds its best k.
+                bar = np.maximum(floor, np.partition(s, high - low - k, axis=1)[:, high - low - k].astype(np.float64))
+            r, c = np.nonzero(s >= (bar - 2 * off[a:b] - 1e-9).astype(s.dtype)[:, None])
+            if len(r) > MANY * (b - a):
+                # Many ties: items come in the order of their ids, so later ones must be better.
+                s = similarities(q[a:b], v[low:high])
+                if later is not None:
+                    s[later] = -np.inf
+                r, c = np.nonzero(s > floor[:, None])
+                if len(r) > MANY * (b - a):
+                    r, c = best_k(s, ids[low:high], k)
+                found_s = s[r, c]
+            else:
+                if later is not None:
+                    kept = ~later[r, c]
+                    r, c = r[kept], c[kept]
+                found_s = products(q, v, a + r, low + c)
+            if not len(r):
+                continue
+            rows = np.append(rows[0], r), np.append(rows[1], c + low), np.append(rows[2], found_s)
+            rows, floor = _first_k(rows, b - a, k)
+        found.append((rows[0] + a, rows[1], rows[2]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    r, c, s = (np.concatenate(x) for x in zip(*found))
+    return turn[r], order[c], s
+
+
+def _first_k(rows: tuple[np.ndarray, ...], n: int, k: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The k best of (row, column, similarity) per row, and the k-th similarity of each, where there are k."""
+    r, c, s = rows
+    by = np.lexsort((c, -s, r))
+    r, c, s = r[by], c[by], s[by]
+    starts = np.searchsorted(r, np.arange(n))
+    rank = np.arange(len(r)) - starts[r]
+    kept = rank < k
+    floor = np.full(n, -np.inf)
+    last = rank == k - 1
+    floor[r[last]] = s[last]
+    return (r[kept], c[kept], s[kept]), floor
+
+
+def tiled_any(q: np.ndarray, qid: np.ndarray, v: np.ndarray, ids: np.ndarray, floor: float) -> np.ndarray:
+    """Whether each query has an item of a lower id with a similarity of ``floor`` or more."""
+    order, turn = np.argsort(ids, kind="stable"), np.argsort(qid, kind="stable")
+    q, qid, v, ids = q[turn], qid[turn], v[order], ids[order]
+    hit = np.zeros(len(q), bool)
+    qs, vs, off = screen(q, v)
+    for a, b in tile_edges(len(q), TILE_QUERIES):
+        bar = floor - 2 * off[a:b] - 1e-9
+        for low, high in tile_edges(len(v), TILE_ITEMS):
+            if ids[low] >= qid[b - 1]:
+                break
+            s = qs[a:b] @ vs[low:high].T
+            # Rows that hold a match already need no other.
+            r, c = np.nonzero((s >= bar.astype(s.dtype)[:, None]) & ~hit[a:b, None])
+            if len(r) > MANY * (b - a):
+                near = (similarities(q[a:b], v[low:high]) >= floor) & (ids[None, low:high] < qid[a:b, None])
+                hit[a:b] |= near.any(axis=1)
+                continue
+            earlier = ids[low + c] < qid[a + r]
+            r, c = r[earlier], c[earlier]
+            hit[a + r[products(q, v, a + r, low + c) >= floor]] = True
+    out = np.empty(len(q), bool)
+    out[turn] = hit
+    return out
+
+
 def block_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -82,8 +205,9 @@ def block_pairs(
     the number of blocks it meets, plus the small per-block results.
     """
     if cell is None:
-        nl = _blocks(left.count(), block_rows)
-        nr = _blocks(right.count(), block_rows)
+        spark = left.sparkSession
+        cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        nl, nr = _cuts(left.count(), right.count(), block_rows, 4 * cores)
         a = left.withColumn("_cell", F.lit(0)).withColumn("_nl", F.lit(nl)).withColumn("_nr", F.lit(nr))
         b = right.withColumn("_cell", F.lit(0)).withColumn("_nl", F.lit(nl)).withColumn("_nr", F.lit(nr))
         groups = nl * nr
@@ -103,8 +227,7 @@ def block_pairs(
     if groups is not None and groups > 1:
         # The work is in the products, not in the bytes: a task per block pair while there
         # are few of them, then many pairs per task, as the cluster asks for.
-        spark = left.sparkSession
-        most = TASKS_PER_CORE * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        most = TASKS_PER_CORE * cores
         a, b = a.repartition(min(groups, most), *keys), b.repartition(min(groups, most), *keys)
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
@@ -113,5 +236,13 @@ def block_pairs(
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(run, schema)
 
 
-def _blocks(rows: int, block_rows: int) -> int:
-    return max(1, -(-rows // block_rows))
+def _cuts(left: int, right: int, block_rows: int, want: int) -> tuple[int, int]:
+    """Blocks of the two sides: none above ``block_rows``, and ``want`` pairs of them unless blocks get small."""
+    nl, nr = max(1, -(-left // block_rows)), max(1, -(-right // block_rows))
+    while nl * nr < want:
+        # The side with the bigger blocks is cut further.
+        more_left = left / nl >= right / nr
+        if (left / (nl + 1) if more_left else right / (nr + 1)) < FEW_ROWS:
+            break
+        nl, nr = (nl + 1, nr) if more_left else (nl, nr + 1)
+    return nl, nr

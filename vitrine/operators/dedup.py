@@ -129,7 +129,7 @@ def _matcher(vectors: DataFrame, floor: float, block_rows: int):
 def batch_scan(
     candidates: DataFrame, registry: DataFrame, k: int = S.SEARCH_K,
     duplicate: float = S.DUPLICATE_THRESHOLD, review: float = S.REVIEW_THRESHOLD,
-    block_rows: int = S.BLOCK_ROWS,
+    block_rows: int = S.VECTOR_BLOCK_ROWS,
 ) -> DataFrame:
     """Scan (qid, v) in id order; every new item is visible to the later ones.
 

@@ -26,6 +26,10 @@ from .cells import _share, assign, cell_count, train_cells
 SLACK = 1e-6
 #: From this share of all comparisons on, cells are not worth their copies.
 WORTH = 0.6
+#: Nor are they when a query is copied to more cells than this, on the average.
+MOST_COPIES = 64
+#: Queries whose cells a task writes out at once.
+SLICE_ROWS = 256
 
 
 @dataclass
@@ -36,17 +40,19 @@ class BallCells:
     visits: DataFrame
     compared: int
     every: int
+    copies: float = 0.0
 
     @property
     def pays(self) -> bool:
-        return self.compared < WORTH * self.every
+        return self.compared < WORTH * self.every and self.copies <= MOST_COPIES
 
 
 def build(queries: DataFrame, items: DataFrame, floor: float, cells: int | None = None) -> BallCells:
     """Cells of (id, v) and the visits of (qid, v) for similarities of ``floor`` (above 0) or more.
 
     Vectors are taken to be of length one. Those that are not are in a cell of their own, -1, that
-    every query visits, and visit every cell, so nothing is lost with them either.
+    every query visits, and visit every cell, so nothing is lost with them either. The visits are
+    counted before any is written; where they do not pay they stay a plan.
     """
     n = items.count()
     most = max(1, S.BROADCAST_BYTES // (8 * len(items.select("v").first()["v"]) + 8)) if n else 1
@@ -79,19 +85,39 @@ def build(queries: DataFrame, items: DataFrame, floor: float, cells: int | None
     limits = np.array([facts[c]["radius"] + reach if c in facts else -1.0 for c in turned])
     odd = -1 in facts
 
-    def visiting(batches):
+    def nearby(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            if t.num_rows:
+            for start in range(0, b.num_rows, SLICE_ROWS):
+                t = pa.Table.from_batches([b.slice(start, SLICE_ROWS)])
                 v = matrix(t["v"])
                 near = (angles(v, shared.value) <= limits[None, :]) | (uneven(v)[:, None] & (limits >= 0)[None, :])
-                r, c = np.nonzero(near)
-                if odd:
-                    r, c = np.append(r, np.arange(len(v))), np.append(c, np.full(len(v), -1))
-                out = pa.RecordBatch.from_arrays([pa.array(t["qid"].to_numpy()[r]), list_column(v[r]), pa.array(c, pa.int32())], names=["qid", "v", "cell"])
-                yield out
-
-    visits = cut(queries.select("qid", "v").mapInArrow(visiting, "qid long, v array<double>, cell int"))
-    asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+                yield t, v, near
+
+    def counting(batches):
+        total, rows = np.zeros(len(limits), np.int64), 0
+        for _, v, near in nearby(batches):
+            total, rows = total + near.sum(axis=0), rows + len(v)
+        if rows:
+            cells_, n_ = [*turned, *([-1] if odd else []), -2], [*total.tolist(), *([rows] if odd else []), rows]
+            yield pa.RecordBatch.from_arrays([pa.array(cells_, pa.int32()), pa.array(n_, pa.int64())], names=["cell", "n"])
+
+    def visiting(batches):
+        for t, v, near in nearby(batches):
+            r, c = np.nonzero(near)
+            if odd:
+                r, c = np.append(r, np.arange(len(v))), np.append(c, np.full(len(v), -1))
+            qid, cell = pa.array(t["qid"].to_numpy()[r]), pa.array(c, pa.int32())
+            for start in range(0, len(r), 8192):
+                part = slice(start, start + 8192)
+                yield pa.RecordBatch.from_arrays([qid[part], list_column(v[r[part]]), cell[part]], names=["qid", "v", "cell"])
+
+    asking = queries.select("qid", "v")
+    # Cell -2 counts the queries themselves.
+    asked = {r["cell"]: r["n"] for r in asking.mapInArrow(counting, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    rows = asked.pop(-2, 0)
     compared = sum(m * facts[c]["n"] for c, m in asked.items() if c in facts)
-    return BallCells(placed.drop("angle"), visits, compared, queries.count() * n)
+    visits = asking.mapInArrow(visiting, "qid long, v array<double>, cell int")
+    balls = BallCells(placed.drop("angle"), visits, compared, rows * n, sum(asked.values()) / max(1, rows))
+    if balls.pays:
+        balls.visits = cut(visits)
+    return balls

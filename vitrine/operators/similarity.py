@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from .blocks import best_k, block_pairs, ints, matrix, similarities
+from .blocks import block_pairs, ints, matrix, tiled_any, tiled_best_k
 from .ordering import top_per_key
 
 PAIR = "qid long, id long, sim double"
@@ -18,41 +18,36 @@ def _pairs(qid, ids, sims) -> pa.Table:
     return pa.table({"qid": pa.array(qid, pa.int64()), "id": pa.array(ids, pa.int64()), "sim": pa.array(sims, pa.float64())})
 
 
-def _two_sides(x: pa.Table, y: pa.Table, earlier_only: bool):
-    qid, ids = ints(x["qid"]), ints(y["id"])
-    if len(qid) == 0 or len(ids) == 0:
-        return qid, ids, np.empty((len(qid), len(ids)))
-    sims = similarities(matrix(x["v"]), matrix(y["v"]))
-    if earlier_only:
-        sims[ids[None, :] >= qid[:, None]] = -np.inf
-    return qid, ids, sims
+def _two_sides(x: pa.Table, y: pa.Table):
+    return matrix(x["v"]), ints(x["qid"]), matrix(y["v"]), ints(y["id"])
 
 
 def top_k(
     queries: DataFrame, items: DataFrame, k: int = S.SEARCH_K, cell: str | None = None,
-    earlier_only: bool = False, block_rows: int = S.BLOCK_ROWS,
+    earlier_only: bool = False, block_rows: int = S.VECTOR_BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar items of every query: (qid, id, sim, rank).
 
     ``queries`` is (qid, v), ``items`` (id, v); with ``cell`` only equal cells meet, a
     query row per probed cell. Every pair of blocks yields its own best k, so the shuffle
     before the final ranking carries k rows per query and block. ``earlier_only`` counts
-    items with an id below the query's.
+    items with an id below the query's. Tasks hold the products of one tile at a time, so
+    blocks can be large, and each side is copied to few of them.
     """
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
-        qid, ids, sims = _two_sides(x, y, earlier_only)
-        if sims.size == 0:
+        if x.num_rows == 0 or y.num_rows == 0:
             return _pairs([], [], [])
-        r, c = best_k(sims, ids, k)
-        return _pairs(qid[r], ids[c], sims[r, c])
+        q, qid, v, ids = _two_sides(x, y)
+        r, c, sims = tiled_best_k(q, qid, v, ids, k, earlier_only)
+        return _pairs(qid[r], ids[c], sims)
 
     found = block_pairs(queries, items, kernel, PAIR, "qid", "id", cell, block_rows)
     return top_per_key(found, ["qid"], [F.col("sim").desc(), F.col("id")], k, "rank")
 
 
 def with_match(
-    queries: DataFrame, items: DataFrame, floor: float, block_rows: int = S.BLOCK_ROWS,
+    queries: DataFrame, items: DataFrame, floor: float, block_rows: int = S.VECTOR_BLOCK_ROWS,
     cell: str | None = None,
 ) -> DataFrame:
     """Ids of queries similar (>= ``floor``) to an item with a lower id.
@@ -61,9 +56,10 @@ def with_match(
     """
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
-        qid, _, sims = _two_sides(x, y, True)
-        hit = (sims >= floor).any(axis=1) if sims.size else np.zeros(len(qid), bool)
-        return pa.table({"qid": pa.array(qid[hit], pa.int64())})
+        if x.num_rows == 0 or y.num_rows == 0:
+            return pa.table({"qid": pa.array([], pa.int64())})
+        q, qid, v, ids = _two_sides(x, y)
+        return pa.table({"qid": pa.array(qid[tiled_any(q, qid, v, ids, floor)], pa.int64())})
 
     return block_pairs(queries, items, kernel, "qid long", "qid", "id", cell, block_rows).distinct()
 

@@ -74,6 +74,7 @@ DONE, PARTIAL = "done", "partial"
 
 # Our own limits: rows one task may hold, and bytes a broadcast may carry.
 BLOCK_ROWS = 4096
+VECTOR_BLOCK_ROWS = 32_768
 CHUNK_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_LABELS = 10_000
