@@ -49,3 +49,33 @@ def test_products_of_large_blocks_are_held_tile_by_tile():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6 < q.shape[0] * v.shape[0] * 8
+
+
+def test_no_join_of_the_feature_pipeline_goes_through_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from vitrine.operators import features, pixels
+
+    data = np.random.default_rng(1).integers(0, 256, (12, 10, 3), dtype=np.uint8).tobytes()
+    images = spark.range(6).select(
+        F.concat(F.lit("i"), "id").alias("key"), F.col("id").cast("double").alias("mtime"), F.lit(12).alias("height"), F.lit(10).alias("width"), F.lit(3).alias("nChannels"), F.lit(data).alias("data"))
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    store = images.where("mtime < 2").select("key", F.lit("combined").alias("namespace"), "mtime", now.alias("written_at"), F.array(F.lit(0.5).cast("float")).alias("feature"))
+    looked = features.lookup(images.select("key", F.lit("combined").alias("namespace"), "mtime"), store, now)
+    assert "Broadcast" not in looked._jdf.queryExecution().executedPlan().toString()
+    both, rows = pixels.feature_pipeline(images, store, now)
+    # Nothing computed is computed again: what is handed on is read from tables.
+    assert "MapIn" not in both._jdf.queryExecution().executedPlan().toString() + rows._jdf.queryExecution().executedPlan().toString()
+    got = {r["key"]: (r["cached"], len(r["feature"])) for r in both.collect()}
+    assert got == {f"i{i}": (i < 2, 1 if i < 2 else 608) for i in range(6)} and rows.count() == 4
+
+
+def test_pictures_are_worked_off_a_few_at_a_time():
+    import pyarrow as pa
+
+    from vitrine.operators import pixels
+
+    batch = pa.RecordBatch.from_pydict({"height": [2] * 1000, "width": [1] * 1000, "nChannels": [3] * 1000, "data": [b"\1\2\3\4\5\6"] * 999 + [None]})
+    parts = list(pixels._slices([batch]))
+    assert max(p.num_rows for p, _ in parts) <= 256 and sum(p.num_rows for p, _ in parts) == 1000
+    assert parts[0][1][0].shape == (2, 1, 3) and parts[-1][1][-1] is None

@@ -19,12 +19,13 @@ def since(now: Column, days: int) -> Column:
 def lookup(wanted: DataFrame, store: DataFrame, now: Column, days: int = S.FEATURE_TTL_DAYS) -> DataFrame:
     """Wanted images with a stored feature of the same mtime and not past ``days``.
 
-    ``wanted`` has key, namespace and mtime; ``hit`` tells which rows need computing.
+    ``wanted`` has key, namespace and mtime; ``hit`` tells which rows need computing. Stored
+    vectors are many times the size of their files, so neither side is broadcast.
     """
     s = store.select(*KEY, F.col("mtime").alias("_mtime"), "written_at", "feature")
     fresh = s.where(F.col("written_at") >= since(now, days))
     on = [wanted[c] == fresh[c] for c in KEY] + [F.col("mtime") == F.col("_mtime")]
-    joined = wanted.join(fresh, on, "left")
+    joined = wanted.join(fresh.hint("merge"), on, "left")
     return joined.select(
         *[wanted[c] for c in wanted.columns], "feature", F.col("feature").isNotNull().alias("hit")
     )

@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..session import cut
 
 FIELDS = ("height", "width", "nChannels", "data")
+#: Pictures that a task works off at once, whatever the batches it is handed hold.
+SLICE_ROWS = 256
+DOUBLES = pa.list_(pa.float64())
+_STEPS = np.arange(1, 256)
+#: Fixed-point divisors of saturation and hue.
+_SDIV = np.concatenate([[0], np.rint((255 << 12) / _STEPS)]).astype(np.int64)
+_HDIV = np.concatenate([[0], np.rint((180 << 12) / (6.0 * _STEPS))]).astype(np.int64)
 
 
 def flat(images: DataFrame) -> DataFrame:
@@ -26,18 +34,25 @@ def _bgr(height, width, channels, data) -> np.ndarray | None:
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
 
 
-def _map(df: DataFrame, key: str, one: Callable, fields: list[str], kinds: str) -> DataFrame:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A few rows at a time, and their pixels."""
+    for b in batches:
+        for start in range(0, b.num_rows, SLICE_ROWS):
+            part = b.slice(start, SLICE_ROWS)
+            yield part, [_bgr(*r) for r in zip(*(part[f].to_pylist() for f in FIELDS))]
+
+
+def _map(df: DataFrame, key: str, one: Callable, fields: dict[str, pa.DataType], kinds: str) -> DataFrame:
     """Apply ``one`` (pixels or None -> tuple) to every image."""
-    kind = dict(df.dtypes)[key]
+    kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [one(_bgr(*r)) for r in zip(*(b[f] for f in FIELDS))]
-            out = pd.DataFrame(rows, columns=fields)
-            out.insert(0, key, b[key].to_numpy())
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, pictures in _slices(batches):
+            made = zip(*(one(px) for px in pictures))
+            columns = [pa.array(list(c), t) for c, t in zip(made, fields.values())]
+            yield pa.RecordBatch.from_arrays([part[key], *columns], names=[key, *fields])
 
-    return df.select(key, *FIELDS).mapInPandas(run, f"{key} {kind}, {kinds}")
+    return df.select(key, *FIELDS).mapInArrow(run, f"{key} {kind}, {kinds}")
 
 
 def hsv(bgr: np.ndarray) -> np.ndarray:
@@ -45,12 +60,9 @@ def hsv(bgr: np.ndarray) -> np.ndarray:
     b, g, r = (bgr[..., i].astype(np.int64) for i in range(3))
     v = np.maximum(np.maximum(b, g), r)
     diff = v - np.minimum(np.minimum(b, g), r)
-    steps = np.arange(1, 256)
-    sdiv = np.concatenate([[0], np.rint((255 << 12) / steps)]).astype(np.int64)
-    hdiv = np.concatenate([[0], np.rint((180 << 12) / (6.0 * steps))]).astype(np.int64)
-    s = (diff * sdiv[v] + (1 << 11)) >> 12
+    s = (diff * _SDIV[v] + (1 << 11)) >> 12
     side = np.where(v == r, g - b, np.where(v == g, b - r + 2 * diff, r - g + 4 * diff))
-    h = (side * hdiv[diff] + (1 << 11)) >> 12
+    h = (side * _HDIV[diff] + (1 << 11)) >> 12
     return np.stack([np.where(h < 0, h + 180, h), s, v], axis=-1)
 
 
@@ -66,16 +78,16 @@ def hsv_counts(bgr: np.ndarray) -> np.ndarray:
     return np.bincount(bins[front], minlength=hb * sb * vb)
 
 
-def _unit_hsv(px: np.ndarray | None) -> list[float]:
+def _unit_hsv(px: np.ndarray | None) -> np.ndarray:
     """Unit colour histogram; zeros for a corrupt image."""
     counts = np.zeros(int(np.prod(S.HSV_BINS))) if px is None else hsv_counts(px).astype(np.float64)
     n = np.linalg.norm(counts)
-    return (counts / n if n > 0 else counts).tolist()
+    return counts / n if n > 0 else counts
 
 
 def hsv_histograms(images: DataFrame, key: str = "origin") -> DataFrame:
     """Unit colour histogram per image; a corrupt image has the zero vector."""
-    return _map(images, key, lambda px: (_unit_hsv(px),), ["hsv"], "hsv array<double>")
+    return _map(images, key, lambda px: (_unit_hsv(px),), {"hsv": DOUBLES}, "hsv array<double>")
 
 
 def hsv_columns(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
@@ -125,7 +137,7 @@ def edge_white_ratio(bgr: np.ndarray, level: int = S.WHITE_LEVEL, share: float =
 
 
 def white_backgrounds(images: DataFrame, key: str = "origin", ratio: float = S.WHITE_RATIO) -> DataFrame:
-    out = _map(images, key, lambda px: (None if px is None else edge_white_ratio(px),), ["white_ratio"], "white_ratio double")
+    out = _map(images, key, lambda px: (None if px is None else edge_white_ratio(px),), {"white_ratio": pa.float64()}, "white_ratio double")
     return out.withColumn("is_white", F.coalesce(F.col("white_ratio") >= ratio, F.lit(False)))
 
 
@@ -165,7 +177,8 @@ def pad_square(images: DataFrame, key: str = "origin", fill: tuple[int, int, int
         canvas[y : y + h, x : x + w] = px
         return ("processed", n, 3, canvas.tobytes())
 
-    return _map(images, key, one, ["outcome", "size", "nChannels", "data"], "outcome string, size int, nChannels int, data binary")
+    fields = {"outcome": pa.string(), "size": pa.int32(), "nChannels": pa.int32(), "data": pa.binary()}
+    return _map(images, key, one, fields, "outcome string, size int, nChannels int, data binary")
 
 
 def _grey(px: np.ndarray) -> np.ndarray:
@@ -175,16 +188,28 @@ def _grey(px: np.ndarray) -> np.ndarray:
     return np.rint(0.299 * r + 0.587 * g + 0.114 * b)
 
 
-def _resize(a: np.ndarray, n: int) -> np.ndarray:
-    """Area-weighted resize of a plane to n × n."""
+#: Weights made before, by the lengths: pictures of few sizes need few of them.
+_WEIGHTS: dict[tuple[int, int], np.ndarray] = {}
+MOST_WEIGHTS = 256
+
 
-    def weights(m: int) -> np.ndarray:
+def _weights(m: int, n: int) -> np.ndarray:
+    """Shares of m pixels in each of n equal parts."""
+    found = _WEIGHTS.get((m, n))
+    if found is None:
         edges = np.linspace(0, m, n + 1)
         lo, hi = np.arange(m), np.arange(1, m + 1)
         w = np.clip(np.minimum(edges[1:, None], hi) - np.maximum(edges[:-1, None], lo), 0, None)
-        return w / w.sum(axis=1, keepdims=True)
+        found = w / w.sum(axis=1, keepdims=True)
+        if len(_WEIGHTS) >= MOST_WEIGHTS:
+            _WEIGHTS.clear()
+        _WEIGHTS[(m, n)] = found
+    return found
 
-    return weights(a.shape[0]) @ a @ weights(a.shape[1]).T
+
+def _resize(a: np.ndarray, n: int) -> np.ndarray:
+    """Area-weighted resize of a plane, or of planes at once, to n × n."""
+    return _weights(a.shape[-2], n) @ a @ _weights(a.shape[-1], n).T
 
 
 def phash_words(px: np.ndarray, size: int = S.PHASH_SIZE) -> list[int]:
@@ -199,27 +224,27 @@ def phash_words(px: np.ndarray, size: int = S.PHASH_SIZE) -> list[int]:
 
 def phashes(images: DataFrame, key: str = "origin") -> DataFrame:
     """256-bit perceptual hash per image; NULL for a corrupt one."""
-    return _map(images, key, lambda px: (None if px is None else phash_words(px),), ["hash"], "hash array<bigint>")
+    return _map(images, key, lambda px: (None if px is None else phash_words(px),), {"hash": pa.list_(pa.int64())}, "hash array<bigint>")
 
 
 def layout_features(px: np.ndarray, cells: int = 8) -> np.ndarray:
     """Default embedder: colour mean and spread and edge strength on an 8 × 8 grid (512)."""
-    planes = [px[..., i].astype(np.float64) / 255.0 for i in (range(3) if px.shape[2] > 1 else (0, 0, 0))]
+    planes = np.stack([px[..., i].astype(np.float64) / 255.0 for i in (range(3) if px.shape[2] > 1 else (0, 0, 0))])
     grey = _grey(px) / 255.0
     dy, dx = np.abs(np.diff(grey, axis=0, prepend=grey[:1])), np.abs(np.diff(grey, axis=1, prepend=grey[:, :1]))
-    means = [_resize(p, cells) for p in planes]
-    spread = [np.sqrt(np.clip(_resize(p * p, cells) - m * m, 0, None)) for p, m in zip(planes, means)]
-    return np.stack([*means, *spread, _resize(dy, cells), _resize(dx, cells)]).ravel()
+    small = _resize(np.concatenate([planes, planes * planes, dy[None], dx[None]]), cells)
+    small[3:6] = np.sqrt(np.clip(small[3:6] - small[:3] ** 2, 0, None))
+    return small.ravel()
 
 
-def _unit_embedding(model: Callable[[np.ndarray], np.ndarray], px: np.ndarray | None, dim: int) -> list[float]:
+def _unit_embedding(model: Callable[[np.ndarray], np.ndarray], px: np.ndarray | None, dim: int) -> np.ndarray:
     """Unit embedding; zeros for a corrupt image or one that the model fails on."""
     try:
         v = np.zeros(dim) if px is None else np.asarray(model(px), dtype=np.float64)
     except (ValueError, ArithmeticError):
         v = np.zeros(dim)
     n = np.linalg.norm(v)
-    return (v / n if n > 0 else v).tolist()
+    return v / n if n > 0 else v
 
 
 def embed(
@@ -234,23 +259,23 @@ def embed(
 
 
 def vectors(
-    images: DataFrame, key: str = "origin", make: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None, dim: int = S.CLIP_DIM, with_hsv: bool = True
+    images: DataFrame, key: str = "origin", make: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None, dim: int = S.CLIP_DIM, with_hsv: bool = True,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, vector, hsv): embedding and colour histogram of each image, from one pass over its pixels."""
-    kind = dict(images.dtypes)[key]
+    """(key, vector, hsv): embedding and colour histogram of each image, from one pass over its pixels; ``keep`` names columns to pass on."""
+    passed = [key, *keep]
+    kinds = ", ".join(f"{c} {images.schema[c].dataType.simpleString()}" for c in passed)
+    made = ["vector", "hsv"] if with_hsv else ["vector"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make() if make else layout_features
-        for b in batches:
-            made: dict[str, list] = {"vector": [], "hsv": []}
-            for r in zip(*(b[f] for f in FIELDS)):
-                px = _bgr(*r)
-                made["vector"].append(_unit_embedding(model, px, dim))
-                if with_hsv:
-                    made["hsv"].append(_unit_hsv(px))
-            yield pd.DataFrame({key: b[key].to_numpy(), **{c: v for c, v in made.items() if v}})
+        for part, pictures in _slices(batches):
+            columns = [pa.array([_unit_embedding(model, px, dim) for px in pictures], DOUBLES)]
+            if with_hsv:
+                columns.append(pa.array([_unit_hsv(px) for px in pictures], DOUBLES))
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in passed), *columns], names=[*passed, *made])
 
-    return images.select(key, *FIELDS).mapInPandas(run, f"{key} {kind}, vector array<double>" + (", hsv array<double>" if with_hsv else ""))
+    return images.select(*passed, *FIELDS).mapInArrow(run, ", ".join([kinds, *(f"{c} array<double>" for c in made)]))
 
 
 def feature_pipeline(images: DataFrame, store: DataFrame, now: Column, key: str = "key", make=None, namespace: str = "combined"):
@@ -258,18 +283,20 @@ def feature_pipeline(images: DataFrame, store: DataFrame, now: Column, key: str
 
     ``images`` has ``key``, mtime and the pixel fields. Returns the features and the store
     rows to write. Pixels of images found in the store are not read again: the missing
-    ones are picked before any Python runs.
+    ones are picked before any Python runs. What was looked up and what was computed are
+    written once each, and no join sends pixels or features through the driver.
     """
     from ..functions.vectors import combine
     from . import features as feat
 
     wanted = images.select(F.col(key).alias("key"), F.lit(namespace).alias("namespace"), "mtime")
-    looked = feat.lookup(wanted, store, now)
+    looked = cut(feat.lookup(wanted, store, now))
     hits = looked.where("hit").select("key", "mtime", F.col("feature").cast("array<double>").alias("feature"))
-    missing = images.join(looked.where("NOT hit").select(F.col("key").alias(key)), key, "left_semi")
-    computed = missing.select(key, "mtime").join(vectors(missing, key, make), key).select(
+    absent = looked.where("NOT hit").select(F.col("key").alias(key))
+    missing = images.join(absent.hint("merge"), key, "left_semi")
+    computed = cut(vectors(missing, key, make, keep=("mtime",)).select(
         F.col(key).alias("key"), "mtime", combine(F.col("vector"), F.col("hsv")).alias("feature")
-    )
+    ))
     both = hits.withColumn("cached", F.lit(True)).unionByName(computed.withColumn("cached", F.lit(False)))
     rows = computed.select(
         "key", F.lit(namespace).alias("namespace"), "mtime", now.alias("written_at"), F.col("feature").cast("array<float>").alias("feature")
