@@ -79,3 +79,14 @@ def test_pictures_are_worked_off_a_few_at_a_time():
     parts = list(pixels._slices([batch]))
     assert max(p.num_rows for p, _ in parts) <= 256 and sum(p.num_rows for p, _ in parts) == 1000
     assert parts[0][1][0].shape == (2, 1, 3) and parts[-1][1][-1] is None
+
+
+def test_only_contested_names_take_part_in_the_rounds(spark):
+    from vitrine.operators import naming
+
+    df = spark.createDataFrame([(0, "p", "x"), (1, "p", "x_2"), (2, "p", "y"), (3, "q", "x_2"), (4, "q", "z"), (5, "q", "z")], "row long, g string, _base string")
+    rows = naming._parts(df, "_base", False)
+    pick = lambda taken: {tuple(r) for r in naming._contested(rows, taken, ["g"], 2, False, 100).select("g", "_base").collect()}
+    assert pick(None) == {("p", "x"), ("p", "x_2")}
+    assert ("q", "z") in pick(spark.createDataFrame([("q", "z_7")], "g string, _name string"))
+    assert naming._contested(rows.where("row > 1"), None, ["g"], 2, False, 100) is None

@@ -37,6 +37,37 @@ def _counted(df: DataFrame, keys: list[str], order: str, out: str, chunk_rows: i
     return df.withColumn(out, F.row_number().over(w).cast("bigint"))
 
 
+def _fits(df: DataFrame, keys: list[str], chunk_rows: int) -> bool:
+    """Whether no key holds more than ``chunk_rows`` rows, so that each can be counted in one piece."""
+    sizes = df.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    return (sizes.agg(F.max("_n")).first()[0] or 0) <= chunk_rows
+
+
+def _contested(rows: DataFrame, taken: DataFrame | None, scope: list[str], first: int, files: bool, chunk_rows: int) -> DataFrame | None:
+    """Bases (scope, _base) whose names others may claim, or None when there are none.
+
+    A base is contested when a taken name blocks one of its slots, or when it is a literal
+    ``x_N`` beside rows of ``x``, and so is that ``x``. No name made from another base is
+    taken or wanted by anyone else.
+    """
+    keys = [*scope, "_base"]
+    number = F.regexp_extract("_stem", _SUFFIXED, 2).try_cast("bigint")
+    parent = F.concat(F.regexp_extract("_stem", _SUFFIXED, 1), "_ext")
+    literal = cut(rows.where(number >= first).select(*keys, parent.alias("_parent")).distinct())
+    found: DataFrame | None = None
+    if not literal.isEmpty():
+        bases = rows.select(*scope, F.col("_base").alias("_parent")).distinct()
+        pairs = cut(literal.join(bases, [*scope, "_parent"], "left_semi"))
+        found = pairs.select(*keys).unionByName(pairs.select(*scope, F.col("_parent").alias("_base")))
+    if taken is not None:
+        blocked = _runs(taken, scope, first, files, chunk_rows, taken.count() <= chunk_rows).select(*keys)
+        found = blocked if found is None else found.unionByName(blocked)
+    if found is None:
+        return None
+    found = cut(found.distinct())
+    return None if found.isEmpty() else found
+
+
 def _runs(taken: DataFrame, scope: list[str], first: int, files: bool, chunk_rows: int, small: bool) -> DataFrame:
     """Runs of blocked slots per base: after ``_free`` free slots, ``_blocked`` are taken.
 
@@ -83,15 +114,24 @@ def unique_names(
     no earlier waiting row could claim are final, and the few others are offered again.
     The earliest waiting row is settled each time, so the rounds end without a limit. A row
     that would need a number above ``max_suffix`` has a NULL name; the others keep theirs.
+    Bases that nobody else can claim a name of take no part in the rounds: one count per base
+    names their rows.
     """
     scope = list(scope)
     keys = [*scope, "_base"]
     cols = df.columns
-    waiting = cut(_parts(df.withColumn("_base", F.col(base)), "_base", files))
+    rows = cut(_parts(df.withColumn("_base", F.col(base)), "_base", files))
     taken = None if existing is None else cut(existing.select(*scope, F.col(out).alias("_name")))
-    done: DataFrame | None = None
-    while True:
-        ranked = _counted(waiting, keys, row, "_k", chunk_rows, waiting.count() <= chunk_rows)
+    contested = _contested(rows, taken, scope, first, files, chunk_rows)
+    free = rows if contested is None else cut(rows.join(contested, keys, "left_anti"))
+    done = (
+        _counted(free, keys, row, "_k", chunk_rows, _fits(free, keys, chunk_rows))
+        .withColumn("_slot", F.lit(first - 2) + F.col("_k"))
+        .select(*cols, _slot_name("_base", first).alias(out), "_slot")
+    )
+    waiting = None if contested is None else cut(rows.join(contested, keys, "left_semi"))
+    while waiting is not None:
+        ranked = _counted(waiting, keys, row, "_k", chunk_rows, _fits(waiting, keys, chunk_rows))
         if taken is None:
             offers = ranked.withColumn("_blocked", F.lit(0).cast("bigint"))
         else:
@@ -138,7 +178,7 @@ def unique_names(
         )
         final = judged.where("_ok")
         named = final.select(*cols, F.col("_name").alias(out), "_slot")
-        done = named if done is None else done.unionByName(named)
+        done = done.unionByName(named)
         held = final.select(*scope, "_name")
         taken = held if taken is None else taken.unionByName(held)
         waiting = judged.where("NOT _ok").select(*cols, "_base", "_stem", "_ext")
