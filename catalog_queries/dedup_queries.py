@@ -180,12 +180,12 @@ def _(spark, sf):
     stock = registry_items(spark, sf)
     path = scratch_path(spark, "cells")
     cells.write(stock, cells.train_cells(stock), path, "2024-01-01")
-    written = spark.read.parquet(f"{path}/vectors").select("id", "cell", F.posexplode("v").alias("pos", "x"))
-    # Every stored row against every centroid, summed entry by entry.
-    centroids = spark.read.parquet(f"{path}/centroids").select(F.col("cell").alias("other"), F.posexplode("v").alias("pos", "y"))
-    scores = written.join(centroids, "pos").groupBy("id", "cell", "other").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.count(F.lit(1)).alias("n"))
-    best = scores.groupBy("id").agg(F.max("s").alias("top"), F.max(F.expr("if(cell = other, s, null)")).alias("own"), F.count_if(F.col("cell") == F.col("other")).alias("copies"))
-    return best.select("id", "copies", (F.col("own") >= F.col("top") - 1e-8).alias("in_nearest"))
+    written = spark.read.parquet(f"{path}/vectors").select("id", "cell", "v")
+    # Every stored row against every centroid, block by block, and against its own.
+    centroids = spark.read.parquet(f"{path}/centroids")
+    top = similarity.top_k(written.select(F.col("id").alias("qid"), "v"), centroids.select(F.col("cell").cast("long").alias("id"), "v"), 1)
+    own = written.join(centroids.withColumnRenamed("v", "w"), "cell").groupBy("id").agg(F.max(V.dot(F.col("v"), F.col("w"))).alias("own"), F.count(F.lit(1)).alias("copies"))
+    return own.join(top.select(F.col("qid").alias("id"), F.col("sim").alias("top")), "id").select("id", "copies", (F.col("own") >= F.col("top") - 1e-8).alias("in_nearest"))
 
 
 @query("vector_cells_read", "SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) + 0.0 AS first FROM embeddings")
