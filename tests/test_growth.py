@@ -90,3 +90,14 @@ def test_only_contested_names_take_part_in_the_rounds(spark):
     assert pick(None) == {("p", "x"), ("p", "x_2")}
     assert ("q", "z") in pick(spark.createDataFrame([("q", "z_7")], "g string, _name string"))
     assert naming._contested(rows.where("row > 1"), None, ["g"], 2, False, 100) is None
+
+
+def test_pages_are_numbered_in_chunks_of_few_documents(spark):
+    from pyspark.sql import functions as F
+
+    from vitrine.sources import pages
+
+    df = spark.range(60_000).select(F.col("id"), F.lit("u").alias("url"), F.lit("<p>").alias("html"))
+    found, _ = pages.listing_pages(df, "id")
+    assert "_chunk" in found._jdf.queryExecution().optimizedPlan().toString() and "CASE WHEN (id" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.where("page <> place + 1").count() == 0

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import settings as S
 from ..operators.ordering import numbered, parts_for, place, split_points
 
+#: Pages carry their documents, so a chunk has fewer of them than of plain rows.
+PAGE_ROWS = 16_384
 
-def listing_pages(pages: DataFrame, order: str, url: str = "url", html: str = "html", chunk_rows: int = S.CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+
+def listing_pages(pages: DataFrame, order: str, url: str = "url", html: str = "html", chunk_rows: int = PAGE_ROWS) -> tuple[DataFrame, DataFrame]:
     """(page, url, html) of the pages with a document, numbered from 1 in the order of ``order``, and the pages without one.
 
     A page whose document is null or blank is no page of the listing: it is returned apart, with
