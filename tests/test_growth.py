@@ -101,3 +101,48 @@ def test_pages_are_numbered_in_chunks_of_few_documents(spark):
     found, _ = pages.listing_pages(df, "id")
     assert "_chunk" in found._jdf.queryExecution().optimizedPlan().toString() and "CASE WHEN (id" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.where("page <> place + 1").count() == 0
+
+
+def test_rounds_of_k_means_leave_the_points_where_they_are(spark, monkeypatch):
+    from vitrine import settings as S
+    from vitrine.operators import cluster
+
+    monkeypatch.setattr(S, "BLOCK_ROWS", 150)
+    v = unit(np.random.default_rng(9), 300, 4)
+    points = frame(spark, enumerate(v), "idx").selectExpr("7L AS folder", "0L AS leaf", "idx", "v", "1L AS weight")
+    sizes = spark.createDataFrame([(7, 0, 300, 4)], "folder long, leaf long, size long, k int")
+    seeds = {r["c"]: np.array(r["cv"]) for r in cluster._seeds(points, sizes).collect()}
+    cv, before, rounds = np.array([seeds[c] for c in sorted(seeds)]), -np.inf, 0
+    while True:
+        fit = 2 * v @ cv.T - (cv**2).sum(1)
+        near, now = fit.argmax(1), fit.max(1).sum()
+        rounds += 1
+        cv = np.array([v[near == j].mean(0) for j in range(len(cv))])
+        if not now > before + cluster.STILL * len(v):
+            break
+        before = now
+    want = (2 * v @ cv.T - (cv**2).sum(1)).argmax(1)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    tag = "k-means"
+    spark.sparkContext.setJobGroup(tag, "")
+    out = cluster.split_leaves(points, sizes)
+    used = len(jobs(tag))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {r["idx"]: sorted(seeds).index(r["part"]) for r in out.collect()}
+    assert [got[i] for i in range(300)] == list(want)
+    # A look at the centres, their broadcast, the round itself; and what is done once.
+    assert rounds > 4 and used <= 6 * rounds + 12
+
+
+def test_centres_too_large_to_send_meet_their_blocks(spark, monkeypatch):
+    from vitrine import settings as S
+    from vitrine.operators import cluster
+
+    rng = np.random.default_rng(4)
+    rows = [(f, i, [float(x) for x in v]) for f in range(2) for i, v in enumerate(unit(rng, 210, 3))]
+    images = spark.createDataFrame(rows, "folder long, idx long, v array<double>")
+    want = {(r["folder"], r["idx"]): r["label"] for r in cluster.cluster(images).collect()}
+    monkeypatch.setattr(S, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    got = {(r["folder"], r["idx"]): r["label"] for r in cluster.cluster(images).collect()}
+    assert len(got) == 420 and got == want
