@@ -146,3 +146,15 @@ def test_centres_too_large_to_send_meet_their_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
     got = {(r["folder"], r["idx"]): r["label"] for r in cluster.cluster(images).collect()}
     assert len(got) == 420 and got == want
+
+
+def test_places_between_split_points_are_found_by_halving(spark):
+    from vitrine.operators import ordering
+
+    df = spark.createDataFrame([(f"w{i:03d}",) for i in range(200)] + [(None,)], "w string")
+    bounds = ordering.split_points(df, "w", 16)
+    chunk = ordering.sampled_chunk(df, "w", 16)
+    plan = df.select(chunk.alias("c"))._jdf.queryExecution().executedPlan().toString()
+    assert len(bounds) > 4 and "lambda" not in plan
+    got = {r["w"]: r["c"] for r in df.select("w", chunk.alias("c")).collect()}
+    assert got == {None: 0} | {f"w{i:03d}": sum(b <= f"w{i:03d}" for b in bounds) for i in range(200)}

@@ -53,10 +53,7 @@ def split_points(df: DataFrame, column: str, parts: int = 64) -> list:
 
 def sampled_chunk(df: DataFrame, column: str, parts: int = 64) -> Column:
     """Order-preserving chunk of any sortable column, by its split points."""
-    bounds = split_points(df, column, parts)
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(column)))
+    return place(F.col(column), split_points(df, column, parts))
 
 
 def place(column: Column, bounds: Sequence) -> Column:
