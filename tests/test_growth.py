@@ -158,3 +158,22 @@ def test_places_between_split_points_are_found_by_halving(spark):
     assert len(bounds) > 4 and "lambda" not in plan
     got = {r["w"]: r["c"] for r in df.select("w", chunk.alias("c")).collect()}
     assert got == {None: 0} | {f"w{i:03d}": sum(b <= f"w{i:03d}" for b in bounds) for i in range(200)}
+
+
+def test_pages_of_one_file_are_parsed_by_all_cores(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vitrine.streaming import ingest, tables
+
+    html = [(p, f'<html><a class="album__main" href="/photos/x/albums/{p}"></a></html>') for p in range(40)]
+    spark.createDataFrame(html, "page long, html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    parts, albums = [], ingest.html.albums
+
+    def seen(pages, base):
+        parts.append(pages.select(F.spark_partition_id().alias("p")).distinct().count())
+        return albums(pages, base)
+
+    monkeypatch.setattr(ingest.html, "albums", seen)
+    stream = tables.file_stream(spark, str(tmp_path / "pages"), "page bigint, html string")
+    got = ingest.ingest_albums(stream, "https://x", str(tmp_path / "albums"), str(tmp_path / "progress")).collect()
+    assert sorted(int(r["album_id"]) for r in got) == list(range(40)) and parts[0] > 1

@@ -22,7 +22,9 @@ def ingest_albums(pages: DataFrame, base: str, path: str, checkpoint: str) -> Da
     spark = pages.sparkSession
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        found = html.first_seen(html.albums(batch, base)).select(*_names(ALBUM_FIELDS))
+        # A file of pages is one or two tasks, and reading pages is slow: all cores take part.
+        cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        found = html.first_seen(html.albums(batch.repartition(cores, "page"), base)).select(*_names(ALBUM_FIELDS))
         tables.put(found, path, batch_id)
 
     tables.run_available(pages.select(F.col("page").cast("bigint").alias("page"), "html"), on_batch, checkpoint)
