@@ -177,3 +177,20 @@ def test_pages_of_one_file_are_parsed_by_all_cores(spark, tmp_path, monkeypatch)
     stream = tables.file_stream(spark, str(tmp_path / "pages"), "page bigint, html string")
     got = ingest.ingest_albums(stream, "https://x", str(tmp_path / "albums"), str(tmp_path / "progress")).collect()
     assert sorted(int(r["album_id"]) for r in got) == list(range(40)) and parts[0] > 1
+
+
+def test_quantised_scores_are_held_tile_by_tile():
+    from vitrine.operators import cells
+
+    rng = np.random.default_rng(8)
+    book, q, near = rng.normal(size=(4, 16, 2)), rng.normal(size=(4000, 8)), rng.normal(size=4000)
+    codes, ids = rng.integers(0, 16, (4096, 4)), rng.permutation(4096)
+    tracemalloc.start()
+    r, c, s = cells.best_coded(q, near, np.arange(4000), codes, ids, book, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4000 * 4096 * 8
+    for i in range(0, 4000, 400):
+        sums = np.round(near[i] + sum((book[t] @ q[i, 2 * t : 2 * t + 2])[codes[:, t]] for t in range(4)), 9)
+        assert list(np.sort(s[r == i])[::-1]) == pytest.approx(list(np.sort(sums)[::-1][:5]), abs=1e-8)
+        assert sums[c[r == i]] == pytest.approx(s[r == i], abs=1e-8)

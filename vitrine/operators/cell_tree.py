@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions.vectors import as_double, l2_normalize
 from ..session import cut
-from .blocks import best_k, block_pairs, ints, matrix
-from .cells import TRAIN_PER_CELL, _drawn, _share, assign, exact_order, train_cells
+from .blocks import block_pairs, ints, matrix
+from .cells import TRAIN_PER_CELL, _drawn, _share, assign, best_coded, exact_order, train_cells
 from .ordering import top_per_key
 from .similarity import PAIR, _pairs, top_k
 
@@ -102,7 +102,6 @@ def pq_search(
     one table look-up per sub-vector.
     """
     shared = _share(queries.sparkSession, book)
-    m, _, d = book.shape
     wide = k * refine if items is not None else k
     placed = place(queries.select("qid", "v"), tree, "qid", probes, coarse_probes)
 
@@ -110,12 +109,9 @@ def pq_search(
         if x.num_rows == 0 or y.num_rows == 0:
             return _pairs([], [], [])
         q, codes, ids = matrix(x["v"]), matrix(y["codes"], np.int64), ints(y["id"])
-        scores = np.repeat(x["near"].to_numpy()[:, None], len(ids), axis=1)
-        for s in range(m):
-            scores += (q[:, s * d : (s + 1) * d] @ shared.value[s].T)[:, codes[:, s]]
-        scores = np.round(scores, 9)
-        r, c = best_k(scores, ids, wide)
-        return _pairs(ints(x["qid"])[r], ids[c], scores[r, c])
+        qid = ints(x["qid"])
+        r, c, scores = best_coded(q, x["near"].to_numpy(), qid, codes, ids, shared.value, wide)
+        return _pairs(qid[r], ids[c], scores)
 
     found = block_pairs(placed, coded, kernel, PAIR, "qid", "id", "cell", block_rows)
     best = top_per_key(found, ["qid"], [F.col("sim").desc(), F.col("id")], wide, "rank")

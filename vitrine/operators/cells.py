@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions.vectors import as_double, dot
 from ..session import cut, require_small
-from .blocks import best_k, block_pairs, ints, list_column, matrix
+from .blocks import best_k, block_pairs, ints, list_column, matrix, tiled_best_k
 from .similarity import PAIR, _pairs, top_k
 from .ordering import top_per_key
 
@@ -204,7 +204,6 @@ def pq_search(
     look-up per sub-vector.
     """
     c_shared, b_shared = _share(queries.sparkSession, centres), _share(queries.sparkSession, book)
-    m, _, d = book.shape
     wide = k * refine if items is not None else k
     placed = assign(queries.select("qid", "v"), centres, probes).withColumn("at", F.col("cell"))
 
@@ -212,18 +211,26 @@ def pq_search(
         if x.num_rows == 0 or y.num_rows == 0:
             return _pairs([], [], [])
         q, codes, ids = matrix(x["v"]), matrix(y["codes"], np.int64), ints(y["id"])
-        scores = np.repeat((q @ c_shared.value[x["at"][0].as_py()])[:, None], len(ids), axis=1)
-        for s in range(m):
-            scores += (q[:, s * d : (s + 1) * d] @ b_shared.value[s].T)[:, codes[:, s]]
-        scores = np.round(scores, 9)
-        r, c = best_k(scores, ids, wide)
-        return _pairs(ints(x["qid"])[r], ids[c], scores[r, c])
+        qid = ints(x["qid"])
+        r, c, scores = best_coded(q, q @ c_shared.value[x["at"][0].as_py()], qid, codes, ids, b_shared.value, wide)
+        return _pairs(qid[r], ids[c], scores)
 
     found = block_pairs(placed, coded, kernel, PAIR, "qid", "id", "cell", block_rows)
     best = top_per_key(found, ["qid"], [F.col("sim").desc(), F.col("id")], wide, "rank")
     return best if items is None else exact_order(best, queries, items, k)
 
 
+def best_coded(q: np.ndarray, near: np.ndarray, qid: np.ndarray, codes: np.ndarray, ids: np.ndarray, book: np.ndarray, k: int):
+    """Row and column numbers and quantised scores of the k best coded items per query.
+
+    A score is ``near`` plus the query's product with the vector that the codes stand for: one
+    matrix product, made tile by tile.
+    """
+    m, _, d = book.shape
+    items = np.column_stack([*(book[s][codes[:, s]] for s in range(m)), np.ones(len(ids))])
+    return tiled_best_k(np.column_stack([q[:, : m * d], near]), qid, items, ids, k)
+
+
 def exact_order(best: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """The ``k`` best of found (qid, id), by their exact products."""
     exact = (
