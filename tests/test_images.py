@@ -143,3 +143,42 @@ def test_feature_pipeline_computes_only_the_missing(spark, images):
     found, new = pixels.feature_pipeline(rows, store, now)
     assert {r["key"] for r in found.where("cached").collect()} == {"tall.png"} and found.count() == 6
     assert {r["key"]: len(r["feature"]) for r in new.collect()} == {k: 608 for k in ("wide.png", "square.png", "framed.png", "clear.png", "broken.png")}
+
+
+def test_pictures_of_one_shape_are_embedded_together(monkeypatch):
+    import pyarrow as pa
+
+    from vitrine.operators import blocks
+
+    rng = np.random.default_rng(7)
+    shapes = [(12, 14, 3), (5, 9, 1), (20, 8, 4), (1, 1, 3), (300, 400, 3)]
+    some = [rng.integers(0, 256, shapes[i % 4], dtype=np.uint8) for i in range(60)] + [rng.integers(0, 256, shapes[4], dtype=np.uint8), None, solid(6, 6, (0, 0, 0))]
+    calls, many = [], pixels.layout_features_many
+    monkeypatch.setattr(pixels, "layout_features_many", lambda px: calls.append(px.shape) or many(px))
+    got = pixels._unit_layouts(some, 512)
+    # Fifteen pictures of each small shape, and one of each other, in one call per shape.
+    assert sorted(calls) == sorted([(15, *s) for s in shapes[:4]] + [(1, *shapes[4]), (1, 6, 6, 3)])
+    for px, v in zip(some, got):
+        if px is None or not px.any():
+            assert not v.any()
+            continue
+        # The definition, plane by plane.
+        h, w, c = px.shape
+        b, g, r = (px[..., i if c > 1 else 0] / 255.0 for i in range(3))
+        grey = b if c == 1 else np.rint((0.299 * r + 0.587 * g + 0.114 * b) * 255) / 255.0
+        edges = [np.abs(np.diff(grey, axis=0, prepend=grey[:1])), np.abs(np.diff(grey, axis=1, prepend=grey[:, :1]))]
+        mean = lambda a: pixels._weights(h, 8) @ a @ pixels._weights(w, 8).T
+        want = np.stack([*map(mean, (b, g, r)), *(np.sqrt(np.clip(mean(a * a) - mean(a) ** 2, 0, None)) for a in (b, g, r)), *map(mean, edges)]).ravel()
+        assert v == pytest.approx(want / np.linalg.norm(want), abs=1e-6)
+    assert blocks.matrix(pa.chunked_array([blocks.list_column(got)])).shape == (63, 512)
+
+
+def test_slices_of_many_pictures_are_bounded_by_their_bytes(monkeypatch):
+    import pyarrow as pa
+
+    batch = lambda n, size: pa.RecordBatch.from_pydict({"height": [size] * n, "width": [1] * n, "nChannels": [3] * n, "data": [bytes(3 * size)] * n})
+    rows = lambda b: [p.num_rows for p, _ in pixels._slices([b], pixels.MANY_ROWS)]
+    assert rows(batch(5000, 2)) == [2048, 2048, 904]
+    big = rows(batch(2000, 5000))
+    assert sum(big) == 2000 and max(big) == 279  # 4 MiB of 15,000 bytes each
+    assert max(rows(batch(600, 50_000))) == 256  # never fewer than before

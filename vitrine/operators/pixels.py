@@ -6,15 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..session import cut
+from .blocks import list_column
 
 FIELDS = ("height", "width", "nChannels", "data")
 #: Pictures that a task works off at once, whatever the batches it is handed hold.
 SLICE_ROWS = 256
+#: Pictures, and bytes of them, that the default embedder is handed at once, and pixels that it works on at once.
+MANY_ROWS, MANY_BYTES, MANY_PIXELS = 2048, 4 << 20, 1 << 16
 DOUBLES = pa.list_(pa.float64())
 _STEPS = np.arange(1, 256)
 #: Fixed-point divisors of saturation and hue.
@@ -34,12 +38,17 @@ def _bgr(height, width, channels, data) -> np.ndarray | None:
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """A few rows at a time, and their pixels."""
+def _slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A few rows at a time, and their pixels; more than ``SLICE_ROWS`` only while the pictures are small."""
     for b in batches:
-        for start in range(0, b.num_rows, SLICE_ROWS):
-            part = b.slice(start, SLICE_ROWS)
+        start = 0
+        while start < b.num_rows:
+            part = b.slice(start, most)
+            if most > SLICE_ROWS and part.num_rows > SLICE_ROWS:
+                held = pc.cumulative_sum(pc.fill_null(pc.binary_length(part["data"]), 0).cast(pa.int64())).to_numpy()
+                part = part.slice(0, max(SLICE_ROWS, int(np.searchsorted(held, MANY_BYTES, side="right"))))
             yield part, [_bgr(*r) for r in zip(*(part[f].to_pylist() for f in FIELDS))]
+            start += part.num_rows
 
 
 def _map(df: DataFrame, key: str, one: Callable, fields: dict[str, pa.DataType], kinds: str) -> DataFrame:
@@ -227,14 +236,44 @@ def phashes(images: DataFrame, key: str = "origin") -> DataFrame:
     return _map(images, key, lambda px: (None if px is None else phash_words(px),), {"hash": pa.list_(pa.int64())}, "hash array<bigint>")
 
 
+def _resize_many(a: np.ndarray, n: int) -> np.ndarray:
+    """``_resize`` of planes (k, h, w) of many pictures, in two products."""
+    k, h, w = a.shape
+    narrow = (a.reshape(k * h, w) @ _weights(w, n).T).reshape(k, h, n)
+    return np.matmul(_weights(h, n), narrow.transpose(1, 0, 2).reshape(h, k * n)).reshape(n, k, n).transpose(1, 0, 2)
+
+
+def layout_features_many(px: np.ndarray, cells: int = 8) -> np.ndarray:
+    """``layout_features`` of pictures of one shape, (n, h, w, channels), a row each."""
+    n, h, w, c = px.shape
+    planes = px[..., list(range(3)) if c > 1 else [0, 0, 0]].transpose(3, 0, 1, 2).astype(np.float64)
+    grey = (planes[0] if c == 1 else np.rint(0.299 * planes[2] + 0.587 * planes[1] + 0.114 * planes[0])) / 255.0
+    planes /= 255.0
+    dy, dx = np.abs(np.diff(grey, axis=1, prepend=grey[:, :1])), np.abs(np.diff(grey, axis=2, prepend=grey[:, :, :1]))
+    small = _resize_many(np.concatenate([planes, planes * planes, dy[None], dx[None]]).reshape(8 * n, h, w), cells).reshape(8, n, cells, cells)
+    small[3:6] = np.sqrt(np.clip(small[3:6] - small[:3] ** 2, 0, None))
+    return small.transpose(1, 0, 2, 3).reshape(n, -1)
+
+
 def layout_features(px: np.ndarray, cells: int = 8) -> np.ndarray:
     """Default embedder: colour mean and spread and edge strength on an 8 × 8 grid (512)."""
-    planes = np.stack([px[..., i].astype(np.float64) / 255.0 for i in (range(3) if px.shape[2] > 1 else (0, 0, 0))])
-    grey = _grey(px) / 255.0
-    dy, dx = np.abs(np.diff(grey, axis=0, prepend=grey[:1])), np.abs(np.diff(grey, axis=1, prepend=grey[:, :1]))
-    small = _resize(np.concatenate([planes, planes * planes, dy[None], dx[None]]), cells)
-    small[3:6] = np.sqrt(np.clip(small[3:6] - small[:3] ** 2, 0, None))
-    return small.ravel()
+    return layout_features_many(px[None], cells)[0]
+
+
+def _unit_layouts(pictures: list[np.ndarray | None], dim: int) -> np.ndarray:
+    """Unit embeddings of the default embedder, a row each; pictures of one shape are worked on together."""
+    out = np.zeros((len(pictures), dim))
+    shapes: dict[tuple[int, ...], list[int]] = {}
+    for i, px in enumerate(pictures):
+        if px is not None:
+            shapes.setdefault(px.shape, []).append(i)
+    for (h, w, _), rows in shapes.items():
+        step = max(1, MANY_PIXELS // (h * w))
+        for low in range(0, len(rows), step):
+            some = rows[low : low + step]
+            out[some] = layout_features_many(np.stack([pictures[i] for i in some]))
+    lengths = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, lengths, out=out, where=lengths > 0)
 
 
 def _unit_embedding(model: Callable[[np.ndarray], np.ndarray], px: np.ndarray | None, dim: int) -> np.ndarray:
@@ -268,9 +307,12 @@ def vectors(
     made = ["vector", "hsv"] if with_hsv else ["vector"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = make() if make else layout_features
-        for part, pictures in _slices(batches):
-            columns = [pa.array([_unit_embedding(model, px, dim) for px in pictures], DOUBLES)]
+        model = make() if make else None
+        for part, pictures in _slices(batches, SLICE_ROWS if make or dim != S.CLIP_DIM else MANY_ROWS):
+            if model is None and dim == S.CLIP_DIM:
+                columns = [list_column(_unit_layouts(pictures, dim))]
+            else:
+                columns = [pa.array([_unit_embedding(model or layout_features, px, dim) for px in pictures], DOUBLES)]
             if with_hsv:
                 columns.append(pa.array([_unit_hsv(px) for px in pictures], DOUBLES))
             yield pa.RecordBatch.from_arrays([*(part[c] for c in passed), *columns], names=[*passed, *made])
