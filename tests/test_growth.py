@@ -194,3 +194,16 @@ def test_quantised_scores_are_held_tile_by_tile():
         sums = np.round(near[i] + sum((book[t] @ q[i, 2 * t : 2 * t + 2])[codes[:, t]] for t in range(4)), 9)
         assert list(np.sort(s[r == i])[::-1]) == pytest.approx(list(np.sort(sums)[::-1][:5]), abs=1e-8)
         assert sums[c[r == i]] == pytest.approx(s[r == i], abs=1e-8)
+
+
+@pytest.mark.parametrize("search", [lambda *sides: blocks.tiled_best_k(*sides, 5), lambda *sides: blocks.tiled_any(*sides, 0.85)])
+def test_blocks_are_put_in_order_in_single_precision_only(search):
+    rng, peaks = np.random.default_rng(12), []
+    for n in (8192, 16_384):
+        q, v, qid, ids = unit(rng, n, 64), unit(rng, n, 64), rng.permutation(n), rng.permutation(n)
+        tracemalloc.start()
+        search(q, qid, v, ids)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    # What is held besides the two blocks grows by less than they do.
+    assert peaks[1] - peaks[0] < q.nbytes

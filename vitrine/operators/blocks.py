@@ -80,16 +80,16 @@ def tile_edges(n: int, width: int, first: int | None = None) -> list[tuple[int,
     return out
 
 
-def screen(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both sides in single precision, and how far a product of them may be off, per query.
+def screen(q: np.ndarray, v: np.ndarray, turn: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both sides in single precision, rows in the given orders, and how far a product of them may be off, per query.
 
     Lengths that single precision cannot hold keep the vectors as they are.
     """
-    lengths, longest = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1).max()
+    lengths, longest = np.sqrt(np.einsum("ij,ij->i", q, q))[turn], np.sqrt(np.einsum("ij,ij->i", v, v).max())
     if not (np.isfinite(longest) and np.isfinite(lengths).all() and longest < 1e15 and lengths.max() < 1e15):
-        return q, v, np.zeros(len(q))
+        return q[turn], v[order], np.zeros(len(q))
     off = (q.shape[1] + 8) * 1.2e-7 * lengths * longest + 1e-30
-    return q.astype(np.float32), v.astype(np.float32), off
+    return q.astype(np.float32)[turn], v.astype(np.float32)[order], off
 
 
 def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +116,13 @@ def tiled_best_k(q: np.ndarray, qid: np.ndarray, v: np.ndarray, ids: np.ndarray,
     """Row and column numbers and similarities of the k best items per query, ties to the lower id.
 
     Products are made tile by tile. Single precision rules out what is surely below the k-th best
-    found so far, and what is left is multiplied again in double precision.
+    found so far, and what is left is multiplied again in double precision, from the rows as they are:
+    only the single ones are put in order.
     """
     order, turn = np.argsort(ids, kind="stable"), np.argsort(qid, kind="stable")
-    q, qid, v, ids = q[turn], qid[turn], v[order], ids[order]
+    qid, ids = qid[turn], ids[order]
     found: list[tuple[np.ndarray, ...]] = []
-    qs, vs, off = screen(q, v)
+    qs, vs, off = screen(q, v, turn, order)
     tile = _Tile(qs.dtype)
     for a, b in tile_edges(len(q), TILE_QUERIES):
         rows = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -140,7 +141,7 @@ def tiled_best_k(q: np.ndarray, qid: np.ndarray, v: np.ndarray, ids: np.ndarray,
             r, c = _where(s >= (bar - 2 * off[a:b] - 1e-9).astype(s.dtype)[:, None])
             if len(r) > MANY * (b - a):
                 # Many ties: items come in the order of their ids, so later ones must be better.
-                s = similarities(q[a:b], v[low:high])
+                s = similarities(q[turn[a:b]], v[order[low:high]])
                 if later is not None:
                     s[later] = -np.inf
                 r, c = _where(s > floor[:, None])
@@ -151,7 +152,7 @@ def tiled_best_k(q: np.ndarray, qid: np.ndarray, v: np.ndarray, ids: np.ndarray,
                 if later is not None:
                     kept = ~later[r, c]
                     r, c = r[kept], c[kept]
-                found_s = products(q, v, a + r, low + c)
+                found_s = products(q, v, turn[a + r], order[low + c])
             if not len(r):
                 continue
             rows = np.append(rows[0], r), np.append(rows[1], c + low), np.append(rows[2], found_s)
@@ -180,9 +181,9 @@ def _first_k(rows: tuple[np.ndarray, ...], n: int, k: int) -> tuple[tuple[np.nda
 def tiled_any(q: np.ndarray, qid: np.ndarray, v: np.ndarray, ids: np.ndarray, floor: float) -> np.ndarray:
     """Whether each query has an item of a lower id with a similarity of ``floor`` or more."""
     order, turn = np.argsort(ids, kind="stable"), np.argsort(qid, kind="stable")
-    q, qid, v, ids = q[turn], qid[turn], v[order], ids[order]
+    qid, ids = qid[turn], ids[order]
     hit = np.zeros(len(q), bool)
-    qs, vs, off = screen(q, v)
+    qs, vs, off = screen(q, v, turn, order)
     tile = _Tile(qs.dtype)
     for a, b in tile_edges(len(q), TILE_QUERIES):
         bar = floor - 2 * off[a:b] - 1e-9
@@ -193,12 +194,12 @@ def tiled_any(q: np.ndarray, qid: np.ndarray, v: np.ndarray, ids: np.ndarray, fl
             # Rows that hold a match already need no other.
             r, c = _where(s >= np.where(hit[a:b], np.inf, bar).astype(s.dtype)[:, None])
             if len(r) > MANY * (b - a):
-                near = (similarities(q[a:b], v[low:high]) >= floor) & (ids[None, low:high] < qid[a:b, None])
+                near = (similarities(q[turn[a:b]], v[order[low:high]]) >= floor) & (ids[None, low:high] < qid[a:b, None])
                 hit[a:b] |= near.any(axis=1)
                 continue
             earlier = ids[low + c] < qid[a + r]
             r, c = r[earlier], c[earlier]
-            hit[a + r[products(q, v, a + r, low + c) >= floor]] = True
+            hit[a + r[products(q, v, turn[a + r], order[low + c]) >= floor]] = True
     out = np.empty(len(q), bool)
     out[turn] = hit
     return out
