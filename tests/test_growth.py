@@ -207,3 +207,26 @@ def test_blocks_are_put_in_order_in_single_precision_only(search):
         tracemalloc.stop()
     # What is held besides the two blocks grows by less than they do.
     assert peaks[1] - peaks[0] < q.nbytes
+
+
+def test_blocks_are_written_once_however_many_they_meet(spark, monkeypatch):
+    from vitrine.operators import similarity
+
+    # Blocks of twenty vectors, in pieces of five.
+    monkeypatch.setattr(blocks, "ROW_BYTES", 400)
+    rng = np.random.default_rng(14)
+    q, v = unit(rng, 90, 8), unit(rng, 200, 8)
+    v[50:150] = q[0]
+    queries, items = frame(spark, enumerate(q)), frame(spark, enumerate(v), "id")
+    sims = np.round(q @ v.T, 9)
+    for earlier in (False, True):
+        s = np.where(np.arange(200)[None, :] >= np.arange(90)[:, None], -np.inf, sims) if earlier else sims
+        found = similarity.top_k(queries, items, 3, earlier_only=earlier, block_rows=20)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "explode" not in plan and "CartesianProduct" in plan
+        got = {(r["qid"], r["rank"], r["id"]) for r in found.collect()}
+        assert got == {(i, n + 1, int(j)) for i in range(90) for n, j in enumerate(np.lexsort((np.arange(200), -s[i]))[:3]) if s[i, j] > -np.inf}
+    near = similarity.with_match(queries, items, 0.8, block_rows=20)
+    assert "explode" not in near._jdf.queryExecution().executedPlan().toString()
+    want = ((sims >= 0.8) & (np.arange(200)[None, :] < np.arange(90)[:, None])).any(axis=1)
+    assert {r["qid"] for r in near.collect()} == set(np.flatnonzero(want).tolist())

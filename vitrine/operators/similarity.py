@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from .blocks import block_pairs, ints, matrix, tiled_any, tiled_best_k
+from .blocks import AnyEarlier, BestK, block_pairs, every_block, ints, matrix, tiled_any, tiled_best_k
 from .ordering import top_per_key
 
 PAIR = "qid long, id long, sim double"
@@ -29,11 +29,17 @@ def top_k(
     """The ``k`` most similar items of every query: (qid, id, sim, rank).
 
     ``queries`` is (qid, v), ``items`` (id, v); with ``cell`` only equal cells meet, a
-    query row per probed cell. Every pair of blocks yields its own best k, so the shuffle
-    before the final ranking carries k rows per query and block. ``earlier_only`` counts
-    items with an id below the query's. Tasks hold the products of one tile at a time, so
-    blocks can be large, and each side is copied to few of them.
+    query row per probed cell. Without, a task goes through its share of the items with one block of
+    queries, and the shuffle before the final ranking carries k rows per query and share; with cells
+    every pair of blocks yields its own best k. ``earlier_only`` counts items with an id below the query's.
     """
+    if cell is None:
+        def best(found: BestK) -> pa.Table:
+            r, ids, sims = found.rows()
+            return _pairs(found.qids[r], ids, sims)
+
+        found = every_block(queries, items, lambda q, qid: BestK(q, qid, k, earlier_only), best, PAIR, block_rows)
+        return top_per_key(found, ["qid"], [F.col("sim").desc(), F.col("id")], k, "rank")
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         if x.num_rows == 0 or y.num_rows == 0:
@@ -52,8 +58,11 @@ def with_match(
 ) -> DataFrame:
     """Ids of queries similar (>= ``floor``) to an item with a lower id.
 
-    Only the fact is reported, one row per query and block, never the pairs.
+    Only the fact is reported, one row per query and share of the items (with ``cell``: and block), never the pairs.
     """
+    if cell is None:
+        hits = lambda found: pa.table({"qid": pa.array(found.qids[found.rows()], pa.int64())})
+        return every_block(queries, items, lambda q, qid: AnyEarlier(q, qid, floor), hits, "qid long", block_rows).distinct()
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         if x.num_rows == 0 or y.num_rows == 0:
