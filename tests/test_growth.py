@@ -230,3 +230,37 @@ def test_blocks_are_written_once_however_many_they_meet(spark, monkeypatch):
     assert "explode" not in near._jdf.queryExecution().executedPlan().toString()
     want = ((sims >= 0.8) & (np.arange(200)[None, :] < np.arange(90)[:, None])).any(axis=1)
     assert {r["qid"] for r in near.collect()} == set(np.flatnonzero(want).tolist())
+
+
+def test_leaves_of_a_few_blocks_go_through_their_rounds_in_one_task(spark, monkeypatch):
+    from vitrine import settings as S
+    from vitrine.operators import cluster
+
+    # More than a block each, but not more than one task holds.
+    monkeypatch.setattr(S, "BLOCK_ROWS", 60)
+    v = unit(np.random.default_rng(19), 800, 4)
+    leaf_of = np.array([0] * 400 + [1] * 250 + [2] * 150)
+    rows = [(7, int(f), i, [float(y) for y in x], 1 + i % 3) for i, (f, x) in enumerate(zip(leaf_of, v))]
+    points = spark.createDataFrame(rows, "folder long, leaf long, idx long, v array<double>, weight long")
+    sizes = spark.createDataFrame([(7, 0, 400, 6), (7, 1, 250, 4), (7, 2, 150, 3)], "folder long, leaf long, size long, k int")
+    seeds = cluster._seeds(points, sizes).collect()
+    want, most = {}, 0
+    for leaf in range(3):
+        at, own = np.flatnonzero(leaf_of == leaf), sorted((r["c"], r["cv"]) for r in seeds if r["leaf"] == leaf)
+        x, w, cv, before, rounds = v[at], 1 + at % 3, np.array([c[1] for c in own]), -np.inf, 0
+        while True:
+            fit = 2 * x @ cv.T - (cv**2).sum(1)
+            near, now, rounds = fit.argmax(1), fit.max(1) @ w, rounds + 1
+            cv = np.array([np.average(x[near == j], axis=0, weights=w[near == j]) for j in range(len(cv))])
+            if not now > before + cluster.STILL * w.sum():
+                break
+            before = now
+        want |= {int(i): own[j][0] for i, j in zip(at, (2 * x @ cv.T - (cv**2).sum(1)).argmax(1))}
+        most = max(most, rounds)
+    tag = "k-means in tasks"
+    spark.sparkContext.setJobGroup(tag, "")
+    out = cluster.split_leaves(points, sizes)
+    used = len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["idx"]: r["part"] for r in out.collect()} == want
+    assert most > 12 and used < 2 * most
